@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomstone.llm import bpe, components, leaks, packing, residue, splitting
+from loomstone.llm import bpe, components, leaks, names, packing, residue, splitting
 from loomstone.runtime import clean_id, table
 
 
@@ -40,6 +40,17 @@ select doc_id, node_path from t group by all having sum(n) > 400
 """
 
 
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "entities")
+    cols = [clean_id(F.col("entity_id")).alias("id"), F.col("entity_type").alias("kind"), F.col("canonical_name").alias("name"), F.col("profile_summary").alias("profile")]
+    return names.link(e.select(*cols)).select(F.col("id").alias("entity_id"), "group_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    closed = names.pairs(p6_groups(spark, d).withColumnRenamed("entity_id", "id"))
+    return closed.select(F.col("a").alias("entity_id_a"), F.col("b").alias("entity_id_b"))
+
+
 def p7_chunks(spark: SparkSession, d: str) -> DataFrame:
     chunks = packing.pack(table(spark, d, "documents"), table(spark, d, "blocks"))
     return chunks.select("doc_id", "first_block", "first_part", "token_count", "blocks")
@@ -75,5 +86,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_residue(spark, d).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_pieces, p7_chunks, p8_ids, p9_found, p9_alignments, p10_found, p10_residue)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_pieces, p6_found, p6_groups, p7_chunks, p8_ids, p9_found, p9_alignments, p10_found, p10_residue)}
 SQL = {"p1_found": P1_SQL, "p4_found": P4_SQL, "p9_found": P9_SQL}

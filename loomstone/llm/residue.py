@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -153,6 +154,7 @@ _WEAK = _any(WEAK)
 #: Codes that may stand before an error sentence.
 _CODE = re.compile(r"^(?:(?:\(?(?:error|err|http|code|status|fehler|fehlercode|chyba|kód|błąd)\W*(?:0|#)[^a-z]*|0|#)[\s:.\-–—()]*)+")
 _LATIN, _KEYS = frozenset(LATIN), frozenset("asdfghjklqwe")
+_ROWS = frozenset(("asd", "asdf", "hjkl", "jkl", "jklö", "qwer", "qwerty", "uiop", "wer", "yxcv", "zxcv"))
 _FENCE = re.compile(r"(?:^|\n)[ \t]*(```|~~~).*?(?:\n[ \t]*\1[^\n]*|\Z)", re.DOTALL)
 _TICKS = re.compile(r"`[^`\n]{1,200}`")
 _QUOTED = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“”\n]{1,200}[“”]")
@@ -172,7 +174,26 @@ CUES = (
     "kód", "fehler", "this goes on", "a mistake", "erneut", "adresse", "později", "goes here", "sample text", "dummy", "placeholder", "replace it", "add ",
     "zde bude", "doplnit", "zastępcz", "będzie", "platzhalter", "blindtext", "mustertext", "hier ", "ここ", "ダミー", "サンプル", "xx",
 )
-_CUE = re.compile("|".join(map(re.escape, CUES)))
+#: One of these stands in every placeholder.
+_OPEN = re.compile(r"[{$@%\[<«]|#[^\W\d]|&lt;|__|\.{12}|\((?:insert|enter) |undefined|null_value|m/yyyy|d/yyyy|tt\.mm|dd\.mm|xx\.|max muster|first ?name|imię nazwisko|jméno příj", re.IGNORECASE)
+
+
+def _automaton(words: tuple[str, ...]) -> Callable[[str], bool]:
+    """Whether a lower-case text holds one of the words, in one pass."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text, found=re.compile("|".join(map(re.escape, words))).search: found(text) is not None
+    machine = ahocorasick.Automaton()
+    for w in words:
+        machine.add_word(w, 1)
+    machine.make_automaton()
+    return lambda text: next(machine.iter(text), None) is not None
+
+
+@lru_cache(maxsize=1)
+def _cues() -> Callable[[str], bool]:
+    return _automaton(CUES)
 
 
 def mask(sentence: str) -> str:
@@ -183,8 +204,11 @@ def mask(sentence: str) -> str:
 
 def _filler_words(sentence: str) -> bool:
     """Dummy Latin, one word over and over, or keys struck at random."""
+    start = _WORD.findall(sentence[:60].lower())
+    if len(start) < 3 or not (start[0] == start[1] == start[2] or not _LATIN.isdisjoint(start[:3]) or _KEYS.issuperset(start[0]) or start[0] in _ROWS):
+        return False
     ws = _WORD.findall(sentence.lower())
-    if len(ws) >= 3 and len(set(ws)) == 1:
+    if len(set(ws)) == 1:
         return True
     if len(ws) < 4:
         return False
@@ -193,7 +217,7 @@ def _filler_words(sentence: str) -> bool:
     if _KEYS.issuperset(ws[0]) and _KEYS.issuperset(ws[1]) and _KEYS.issuperset(ws[2]):
         vowels = sum(c in "ae" for w in ws for c in w)
         return all(_KEYS.issuperset(w) for w in ws) and vowels < 0.34 * sum(map(len, ws))
-    return len(ws) >= 6 and {*ws} <= {"asdf", "qwer", "jkl", "qwerty", "asd", "yxcv", "zxcv", "uiop", "hjkl", "jklö", "wer"}
+    return len(ws) >= 6 and _ROWS.issuperset(ws)
 
 
 def messages(text: str) -> Iterator[tuple[str, str | None]]:
@@ -208,19 +232,20 @@ def messages(text: str) -> Iterator[tuple[str, str | None]]:
         text = _TICKS.sub(" ‘’ ", text)
     if '"' in text or "“" in text or "„" in text:
         text = _QUOTED.sub(" ‘’ ", text)
-    cued = _CUE.search(text.lower()) is not None
+    has_cue = _cues()
+    cued, opened = has_cue(text.lower()), _OPEN.search(text) is not None
     for block in text.split("\n\n"):
         lines = [_PREFIX.sub("", line) for line in block.split("\n")]
-        joined = " ".join(lines)
-        for sentence in _SENTENCE.split(joined):
-            if PLACEHOLDER.search(sentence) or CAPITALS.search(sentence):
+        sentences = _SENTENCE.split(" ".join(lines))
+        for sentence in sentences:
+            if opened and _OPEN.search(sentence) and (PLACEHOLDER.search(sentence) or CAPITALS.search(sentence)):
                 yield mask(sentence), "placeholder"
             elif _filler_words(sentence):
                 yield mask(sentence), "filler"
-        if not cued:
+        if not cued or not has_cue(block.lower()):
             continue
-        for sentence in {*_SENTENCE.split(joined), *(s for line in lines for s in _SENTENCE.split(line))}:
-            if len(sentence) > 300 or not _CUE.search(sentence.lower()):
+        for sentence in {*sentences, *(s for line in lines for s in _SENTENCE.split(line))}:
+            if len(sentence) > 300 or not has_cue(sentence.lower()):
                 continue
             masked = mask(sentence)
             bare = _CODE.sub("", masked)
