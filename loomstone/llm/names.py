@@ -180,6 +180,8 @@ def _match(a: Word, b: Word) -> int:
         return int(x[0] == y[0] or any(n[0] == min(x, y, key=len) for n in _PET.get(max(x, y, key=len), ())))
     if (_PET.get(x, set()) | {x}) & (_PET.get(y, set()) | {y}):
         return 1
+    if x in _PET and len(y) > 2 and x.startswith(y) or y in _PET and len(x) > 2 and y.startswith(x):
+        return 1
     if (a.dotted and len(x) > 2 and y.startswith(x)) or (b.dotted and len(y) > 2 and x.startswith(y)):
         return 1
     if _gendered(x, y):
