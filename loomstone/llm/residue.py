@@ -9,6 +9,9 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from loomstone.operators.skew import lookup
+from loomstone.runtime import Scratch
+
 #: A message that only weak rules describe counts once it stands in so many documents of so many sources.
 WIDE_DOCUMENTS, WIDE_SOURCES = 5, 2
 
@@ -290,17 +293,15 @@ def residue(documents: DataFrame) -> DataFrame:
     repeated rows give repeated rows; an empty table gives an empty result; other
     columns are ignored.
 
-    Plan: one map over the scan masks and filters the sentences; only suspicious
-    ones are shuffled. Equal masked messages are grouped exactly with partial sums
+    Plan: one map over the scan masks and filters the sentences; the suspicious ones
+    are written once, and only they are shuffled. Equal masked messages are grouped exactly with partial sums
     per source. Strong kinds need no count, so they go straight to the result; the
     weak ones join their groups by message, the hot ones by broadcast: a group
     above 1/200 of the rows is one of at most 200.
     """
-    from loomstone.operators.skew import lookup
-
-    found = passages(documents)
+    found, _ = Scratch(documents.sparkSession, "residue").save(passages(documents))
     sure = found.where(F.col("kind").isNotNull())
     weak = found.where(F.col("kind").isNull()).drop("kind")
     wide = groups(found.where(F.col("kind").isNull())).where(f"documents >= {WIDE_DOCUMENTS} and sources >= {WIDE_SOURCES}").select("message")
-    more = lookup(weak, "message", wide, 0).withColumn("kind", F.lit("recurring message"))
+    more = lookup(weak, "message", wide, weak.count()).withColumn("kind", F.lit("recurring message"))
     return sure.unionByName(more).select("doc_id", "kind", "message")
