@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from loomstone.runtime import Scratch
+
 #: Words of a seed, and consecutive words that make a leak.
 SEED, RUN = 5, 10
 #: Items are held on every executor in blocks of at most this many characters.
@@ -144,11 +146,12 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     tables give an empty result; other columns are ignored.
 
     Plan: the items are read in blocks of bounded size, each held by every
-    executor, so their number may grow. For each block two scans of the documents,
-    without a shuffle of texts: the first counts the documents of each item n-gram
-    (per-task sums, then one small shuffle) to choose the rarest seed of every run;
-    the second finds the seeds and aligns the passages around them in the same
-    task. No number of candidates is capped.
+    executor, so their number may grow. For each block one scan of the documents
+    keeps those that hold any item n-gram, in the shared scratch folder. Their
+    n-grams are counted (partial sums, one small shuffle) to choose the rarest seed
+    of every run; then a map over the kept documents finds the seeds and aligns the
+    passages around them in the same task. No text is shuffled and no number of
+    candidates is capped.
     """
     spark = documents.sparkSession
     docs = documents.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
@@ -175,16 +178,20 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(index)  # bounded by BLOCK_CHARS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = shared.value.places
-        second, totals = _second(places), Counter()
+        second = _second(places)
         for batch in batches:
-            for t in batch.column(1).to_pylist():
-                totals.update({gram for _, gram in _hits(words(t), second, places)})
-        if totals:
-            yield pa.RecordBatch.from_arrays([pa.array([" ".join(g) for g in totals]), pa.array(list(totals.values()), pa.int64())], names=["gram", "n"])
+            rows = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                grams = {gram for _, gram in _hits(words(t), second, places)}
+                if grams:
+                    rows.append((k, t, sorted(map(" ".join, grams))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.string(), pa.list_(pa.string())])], names=["k", "t", "grams"])
 
-    counted = docs.mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    held, _ = Scratch(spark, "leaks").save(docs.mapInArrow(hold, "k long, t string, grams array<string>"))
+    counted = held.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     counts = {tuple(r[0].split(" ")): r[1] for r in counted.collect()}  # no more rows than the block has n-grams
     seeds = spark.sparkContext.broadcast(index.rare(counts))
 
@@ -207,7 +214,7 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=FOUND.fieldNames())
 
-    return docs.mapInArrow(search, FOUND)
+    return held.select("k", "t").mapInArrow(search, FOUND)
 
 
 _TYPES = [pa.int64(), pa.int64(), pa.string(), *[pa.int32()] * 4]
