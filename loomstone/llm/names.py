@@ -220,22 +220,25 @@ def same(a: Name, b: Name) -> bool:
     return (strong or len(pairs) > 1 and all(m == 2 for m, _, _ in pairs)) and len(pairs) >= min(2, len(a.words), len(b.words))
 
 
-def block_keys(name: Name, profile: str) -> set[str]:
-    """Phonetic codes of the words, whole and with one sound left out; names without a profile add the initials of the rest."""
+def block_keys(name: Name, profile: str) -> set[tuple[str, str]]:
+    """(block, code): phonetic codes of the words, whole (code empty) and with one sound of the code left out.
+
+    Names without a profile add the initials of their other words to the block.
+    """
     words = [w for w in name.words if len(w.text) > 1 and not (w.dotted and len(w.text) < LONG)]
     long = [w for w in words if len(w.text) >= LONG and w.text not in _PET] or words or list(name.words)
     keys = set()
     for w in long:
         rest = "" if profile else "".join(sorted(v.text[0] for v in name.words if v is not w and len(v.text) > 1))[:2]
         for c in {code(w.text), letters(w.text)}:
-            keys.add(f"{profile}|{c}|{rest}")
+            keys.add((f"{profile}|{c}|{rest}", ""))
             if len(c) > 3:
-                keys.update(f"{profile}|{c[:i] + c[i + 1 :]}|{rest}" for i in range(len(c)))
+                keys.update((f"{profile}|{c[:i] + c[i + 1 :]}|{rest}", c) for i in range(len(c)))
     return keys
 
 
 NODES = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "kind", "name", "name_key", "profile")])
-_KEYS = T.StructType([T.StructField(c, T.StringType()) for c in ("block", "node", "name")])
+_KEYS = T.StructType([T.StructField(c, T.StringType()) for c in ("block", "code", "node", "name")])
 _PAIRS = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
 _ARROW = {k: pa.schema([(f.name, pa.string()) for f in s]) for k, s in (("nodes", NODES), ("keys", _KEYS), ("pairs", _PAIRS))}
 
@@ -255,8 +258,8 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
         for batch in batches:
             for node, name, profile in zip(*(c.to_pylist() for c in batch.columns)):
-                for key in sorted(block_keys(parse(name), profile)):
-                    yield key, node, name
+                for block, c in sorted(block_keys(parse(name), profile)):
+                    yield block, c, node, name
 
     yield from batched(rows(), _ARROW["keys"])
 
@@ -270,16 +273,20 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def pairs() -> Iterator[tuple]:
         for _, members in groupby(rows(), key=lambda r: r[0]):
-            clusters: list[list[tuple[str, Name]]] = []
-            for _, node, text in members:
+            own = list(members)
+            if len(own) == 1:
+                continue
+            clusters: list[list[tuple[str, str, Name]]] = []
+            for _, c, node, text in own:
                 name = parse(text)
-                joined: list[list[tuple[str, Name]]] = []
+                joined: list[list[tuple[str, str, Name]]] = []
                 for cluster in clusters:
-                    other = next((n for n, known in cluster if same(name, known)), None)
+                    # equal codes meet in the block of the whole code, one node meets itself nowhere
+                    other = next((n for n, k, known in cluster if n != node and not (c and c == k) and same(name, known)), None)
                     if other is not None:
                         joined.append(cluster)
                         yield node, other
-                merged = [(node, name)]
+                merged = [(node, c, name)]
                 for cluster in joined:
                     clusters.remove(cluster)
                     merged += cluster
@@ -313,7 +320,7 @@ def link(entities: DataFrame, kinds: tuple[str, ...] = ("person", "organization"
     each = nodes.groupBy("name_key", "profile").agg(F.min("id").alias("node"), F.min("name").alias("name"))
     each, _ = scratch.save(each)
     keys = each.select("node", "name", "profile").mapInArrow(_blocked, _KEYS)
-    found, _ = scratch.save(keys.repartition("block").sortWithinPartitions("block", "name", "node").mapInArrow(_compared, _PAIRS))
+    found, _ = scratch.save(keys.repartition("block").sortWithinPartitions("block", "name", "node", "code").mapInArrow(_compared, _PAIRS))
     # ids of one node, the spellings of one id, and the accepted pairs
     own = nodes.join(each.select("name_key", "profile", "node"), ["name_key", "profile"]).select(F.col("id").alias("a"), F.col("node").alias("b"))
     ties, _ = scratch.save(own.unionByName(found))
