@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 from loomstone.llm.blocks import TOKEN, batched, read, stream
+from loomstone.runtime import Scratch
 
 CAPACITY = 400
 #: The curve runs through DIMS dimensions of BITS bits each.
@@ -112,6 +113,8 @@ def fill(items: list[tuple[int, int, int]], capacity: int = CAPACITY) -> list[li
     The reachable fill levels are the bits of one integer. Of items that could
     reach the best level the first ones in the given (curve) order are taken.
     """
+    empty = [x for x in items if not x[2]]
+    items = [x for x in items if x[2]]
     left = sorted(range(len(items)), key=lambda i: (-items[i][2], i))
     bins: list[list[tuple[int, int, int]]] = []
     while left:
@@ -126,11 +129,13 @@ def fill(items: list[tuple[int, int, int]], capacity: int = CAPACITY) -> list[li
         taken = {seed}
         for k in range(len(levels) - 1, 0, -1):
             size = items[rest[k - 1]][2]
-            if size == 0 or not levels[k - 1] >> level & 1:  # empty blocks join for nothing
+            if not levels[k - 1] >> level & 1:
                 taken.add(rest[k - 1])
                 level -= size
         bins.append([items[i] for i in sorted(taken)])
         left = [i for i in left if i not in taken]
+    if empty:  # they fill no room
+        bins = [bins[0] + empty, *bins[1:]] if bins else [empty]
     return bins
 
 
@@ -172,11 +177,12 @@ def pack(documents: DataFrame, blocks: DataFrame, capacity: int = CAPACITY) -> D
     are ignored.
 
     Plan: one shuffle by document turns texts and spans into parts with a Hilbert
-    key of their hashed, projected token vector; a range shuffle sorts the parts by
+    key of their hashed, projected token vector, which are written once (they are
+    small, and a range shuffle reads its input twice); a range shuffle sorts the parts by
     (document, Hilbert key), so one document of any size spreads over several
     partitions; each partition packs runs of neighbours on the curve. A document
     cut by a partition edge may have one chunk more than needed.
     """
-    items = stream(documents, blocks, by_section=False).mapInArrow(lambda it: _items(it, capacity), ITEMS)
+    items, _ = Scratch(documents.sparkSession, "packing").save(stream(documents, blocks, by_section=False).mapInArrow(lambda it: _items(it, capacity), ITEMS))
     order = ["doc_id", "curve", "block_ordinal", "part"]
     return items.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda it: _pack(it, capacity), CHUNKS)
