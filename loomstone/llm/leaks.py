@@ -61,11 +61,19 @@ class Index:
         return out
 
     def rare(self, counts: dict[tuple[str, ...], int]) -> Index:
-        """Keeps, of every run of RUN words, the n-gram found in the fewest documents; each leak holds one of them."""
+        """Keeps, of every run of RUN words, the n-grams found in at most twice the fewest documents, but in one.
+
+        A run that stands in a document has no n-gram that none holds, so each exact leak holds one of them; the others find copies in which some words are replaced.
+        """
         keep = defaultdict(list)
         for n, (_, _, ws) in enumerate(self.passages):
             grams = [tuple(ws[i : i + SEED]) for i in range(len(ws) - SEED + 1)]
-            chosen = {min(range(s, s + RUN - SEED + 1), key=lambda i: (counts.get(grams[i], 0), i)) for s in range(len(ws) - RUN + 1)}
+            seen = [counts.get(g, 0) for g in grams]
+            chosen: set[int] = set()
+            for s in range(len(ws) - RUN + 1):
+                run = range(s, s + RUN - SEED + 1)
+                fewest = min((seen[i] for i in run if seen[i]), default=0)
+                chosen.update(i for i in run if 0 < seen[i] <= 2 * fewest)
             for i in sorted(chosen):
                 keep[grams[i]].append((n, i))
         return Index(self.passages, dict(keep))
