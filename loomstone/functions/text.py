@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -17,7 +17,7 @@ def lemma_of(surface: str | None) -> str | None:
     return " ".join("".join(c for c in plain if not unicodedata.combining(c)).lower().split())
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def lemma(surface: pd.Series) -> pd.Series:
     return surface.map(lemma_of)
 
@@ -93,7 +93,7 @@ def sound_codes(word: str | None) -> list[str]:
     return sorted({(digits + "000000")[:6] for digits, _ in states})
 
 
-@pandas_udf("array<string>")
+@pandas_udf(T.ArrayType(T.StringType()))
 def sounds(text: pd.Series) -> pd.Series:
     """Codes of all words of a text."""
     return text.map(lambda t: sorted({c for w in (t or "").split() for c in sound_codes(w)}))
