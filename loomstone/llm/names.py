@@ -35,7 +35,7 @@ NICKNAMES = {
     "leopold": "leo poldi", "lidia": "lida lydia", "ludmila": "lida mila", "lukas": "luke luki", "magdalena": "lena magda maggie", "marcel": "marc", "margaret": "maggie meg peggy marge greta",
     "marie": "mary maruska mimi", "marta": "martha marticka", "martin": "marty", "matej": "mates matt", "matthias": "matt matti", "michael": "mike mick misa", "milan": "mila",
     "monika": "moni", "nadja": "nada", "natalie": "talia nat nata", "nicholas": "nick nicky", "nikola": "niki", "oliver": "ollie", "ondrej": "ondra andy", "oskar": "ossi",
-    "otto": "ota", "patricia": "pat patty tricia", "patrik": "pat paddy", "pavel": "paul pavlik", "petr": "peter pete peta", "petra": "peti", "philipp": "phil",
+    "otto": "ota", "patricia": "pat patty tricia trish", "patrik": "pat paddy", "pavel": "paul pavlik", "petr": "peter pete peta", "petra": "peti", "philipp": "phil",
     "radek": "rada", "rebecca": "becky becca", "renata": "rena", "richard": "dick rick ricky rich", "robert": "rob bob bobby bert", "roman": "romek", "rosalie": "rosa rose",
     "rudolf": "rudi ruda rolf", "samuel": "sam sammy", "sarah": "sally sara", "sebastian": "bast seb basti", "sigrid": "sigi", "silvie": "silva sylvia", "simon": "sim simi",
     "sofie": "fia zofie sophie", "stanislav": "standa stan", "stephan": "steve stef stevie", "susanna": "sue susi susie zuzana", "tadeas": "tad ted", "tamara": "tami",

@@ -127,7 +127,7 @@ FILLER = (
     r"x{2,}(?:[ ,]x{2,}){2,}",
 )
 
-_FIELD = "(?:page[. ]|your |insert |enter |vars[. ])*(?:" + "|".join(f.replace(" ", "[ _]?").replace("-", "[-_]?") for f in FIELDS) + ")(?:[ _]?here)?"
+_FIELD = "(?:(?:page|your|insert|enter|vars)[. _])*(?:" + "|".join(f.replace(" ", "[ _]?").replace("-", "[-_]?") for f in FIELDS) + ")(?:[ _]?here)?"
 _NAME = r"[^\W\d][\w .\-]{0,40}"
 _FILL = r"(?:insert|enter|your|to be completed:?|tbd|fill in|doplňte|einfügen|wpisz)\b[\w .:\-]{0,40}"
 PLACEHOLDER = re.compile(
@@ -140,7 +140,8 @@ PLACEHOLDER = re.compile(
         rf"\[\[{_NAME}\]\]", rf"\[(?:{_FIELD}|{_FILL})\]", r"\[object object\]", r"\[x{1,2}\]-\[x{1,2}\]-\[x{1,4}\]",
         rf"<<{_NAME}>>", rf"<(?:{_FILL})>", rf"<(?!(?:{'|'.join(TAGS)})>)[^\W\d][\w.\-]{{2,40}}>", r"<!-- ?fill in ?-->", rf"<\?=? ?{_NAME} ?\?>", rf"&lt;{_NAME}&gt;",
         rf"«(?:{_FIELD}|{_FILL})»", rf"\((?:insert|enter) {_NAME}\)",
-        r"(?<!\w)__[^\W\d_][\w .\-]{0,40}?__(?!\w)", r"(?<![\w_])_{6,}(?![\w_])", r"\.{12,}",
+        rf"(?<!\w)__{_FIELD}__(?!\w)", r"(?<!\w)__(?-i:[A-ZÀ-ÖØ-ÞĀ-Ž][A-ZÀ-ÖØ-ÞĀ-Ž_\- .]{1,40}?)__(?!\w)",  # __bold__ words are none
+        r"(?<![\w_])_{6,}(?![\w_])", r"\.{12,}",
         r"(?<![\w/])(?:dd/mm/yyyy|mm/dd/yyyy|tt\.mm\.jjjj|dd\.mm\.(?:rrrr|yyyy|0|))(?![\w/])", r"(?<!\w)x{2}\.x{2}\.(?:0|20)?x{2,4}(?!\w)",
         r"(?<![\w`])(?:undefined|null_value)(?![\w`])",
         r"\bmax muster(?:-?name|mann)\b", r"\bfirst ?name last ?name\b", r"\bimię nazwisko\b", r"\bjméno příjmení\b",

@@ -240,13 +240,14 @@ def test_items_in_blocks_give_the_same(spark, monkeypatch):
 RESIDUE = [
     "Dear {{ first_name }}, welcome.", "Owner: [INSERT NAME]", "# Notes\n\nLorem ipsum dolor sit amet, magna urna velit.", "Error 404: Page not found", "404 Not Found",
     "Please enable JavaScript to view this page.", "THE REQUESTED VIEW COULD NOT BE LOADED.", "このページを表示するにはJavaScriptを有効にしてください。", "text text text text text.",
-    "asdf asdf qwer qwer jkl asdf", "Real words stand here.\n\nAccess denied. You don't have permission to open this document.", "Due: dd/mm/yyyy", "- Site: %SITE%",
+    "asdf asdf qwer qwer jkl asdf", "Real words stand here.\n\nAccess denied. You don't have permission to open this document.", "Due: dd/mm/yyyy", "- Site: %SITE%", "Dear __COMPANY__, hello.", "Owner: __page_title__", "Dear __insert_summary_here__.",
     "xxxxx xxx xxxx xx", "Your session has expired. Please sign in again to continue reading.", "To read this page, allow scripting in the settings.",
 ]
 CONTENT = [
     'We removed the "lorem ipsum" blocks.', "Writers must replace every `{{ owner }}` mark.", "```\n<p>${body}</p>\n```\nThe template is above.", "The gateway answered 504 for 3 minutes, so the job kept retrying.",
     "The workspace needs JavaScript, a fact that Anna added to the list.", "In the notes [0] and [see section 4] the set {a, b} stands for two claims.", "Access to the archive was denied to Bob until noon.",
     "The key of the cabinet could not be found; Eva will look for it again.", "It rose by 5% and 6% to $4 and $5 in <b>May</b>.", "<|endoftext|> https://x.example/?a=0&b=%20", "# Title\n\n## People #1 and #2",
+    "Who among them *first* noticed __that__ the grid stored 4 `slips` __at__ night?",
 ]
 
 
