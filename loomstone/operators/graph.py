@@ -104,23 +104,32 @@ def degree(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable over undirected edges, by minimum labels with pointer jumping."""
+    """(id, component): the smallest id reachable over undirected edges.
+
+    Each round every node hears its neighbours' least label, hands it on to the
+    node its own label names (hooking), and takes the label of its label
+    (shortcut), so the rounds are logarithmic; a label shared by a large part of
+    the nodes is looked up by broadcast.
+    """
     scratch = Scratch(edges.sparkSession, "wcc")
     links, _ = scratch.save(both_ways(edges).distinct())
-    labels, _ = scratch.save(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
-    rows = labels.count()
-    while True:
-        near = links.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+    labels, got = scratch.save(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("label")), n=F.count(F.lit(1)))
+    rows = got["n"]
+    while rows:
+        heard = links.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        heard, _ = scratch.save(labels.join(heard, "id"))
+        hook = heard.groupBy("label").agg(F.min("near").alias("hook"))
+        low = lookup(heard, "label", hook, rows).select("id", F.least("label", "near", "hook").alias("label"), F.col("label").alias("old"))
         low, _ = scratch.save(low)
         jump = lookup(low, "label", low.select(F.col("id").alias("label"), F.col("label").alias("next")), rows)
         fresh, got = scratch.save(jump.select("id", F.col("next").alias("label"), (F.col("next") != F.col("old")).cast("long").alias("moved")), moved=F.sum("moved"))
-        scratch.drop(labels, low)
+        scratch.drop(labels, heard, low)
         path_ = fresh._scratch_path
         labels = fresh.select("id", "label")
         labels._scratch_path = path_
         if not got["moved"]:
-            return labels.select("id", F.col("label").alias("component"))
+            break
+    return labels.select("id", F.col("label").alias("component"))
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
@@ -164,7 +173,7 @@ def core_numbers(edges: DataFrame) -> DataFrame:
             return cores.select("id", "core")
 
 
-def communities(edges: DataFrame, levels: int = 6, sweeps: int = 10) -> DataFrame:
+def communities(edges: DataFrame, levels: int = 4, sweeps: int = 4) -> DataFrame:
     """(id, community): Louvain communities, deterministic and distributed; community is the smallest member id.
 
     A sweep lets the nodes of one hash parity move to the neighbouring community of

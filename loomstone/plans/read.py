@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomstone.operators import graph, lifecycle, primitives as P, ranking, temporal as t
-from loomstone.runtime import table
+from loomstone.runtime import clean_id, table
 from loomstone.sources.spine import frame, oracle
 
 AT, SINCE = "1998-06-01 00:00:00", "2001-06-01 00:00:00"
@@ -248,8 +248,8 @@ def tk5_nearest_prefiltered(spark, d):
     return ranking.nearest(e, list(q), 10, label=1).withColumn("distance", F.round("distance", 6))
 
 
-_RANKS = """select 'price' as channel, cast(o_orderkey as string) as id, row_number() over (order by o_totalprice desc, o_orderkey) as rank from {orders} where o_custkey < 40
- union all select 'date', cast(o_orderkey as string), row_number() over (order by o_orderdate, o_orderkey) from {orders} where o_custkey < 40
+_RANKS = """select 'price' as channel, cast(o_orderkey as string) as id, row_number() over (order by o_totalprice desc, o_orderkey) as rank from {orders}
+ union all select 'date', cast(o_orderkey as string), row_number() over (order by o_orderdate, o_orderkey) from {orders}
  union all select 'date', cast(o_orderkey as string), 1 + row_number() over (order by o_orderkey) from {orders} where o_custkey = 7"""
 
 
@@ -263,7 +263,7 @@ def tk7_fuse(spark, d):
 
 
 _ITEMS = """select cast(o_orderkey as string) as id, o_totalprice as score, case when o_orderkey % 5 > 0 then o_orderkey % 5 end as graph_distance,
-            case when o_orderkey % 7 > 0 then o_orderkey % 7 end as evidence_count from {orders} where o_custkey < 60"""
+            case when o_orderkey % 7 > 0 then o_orderkey % 7 end as evidence_count from {orders}"""
 
 
 @query(f"""with i as ({_ITEMS.replace("{orders}", "orders")}), m as (select max(score) s, min(graph_distance) d0, max(graph_distance) d1, min(evidence_count) e0, max(evidence_count) e1 from i)
@@ -331,17 +331,16 @@ def h15_path(spark, d):
     return graph.path(edges, "supp:1", "region:2", 4).select("node", "hop")
 
 
-_SPARSE = "select concat('p', cast(l_partkey as string)) as src, concat('s', cast(l_suppkey as string), '-', cast(l_partkey % 97 as string)) as dst, cast(row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as string) as edge_id from {lineitem} where l_linenumber = 7 and l_quantity < 9"
+def _merged(spark, d):
+    """The links of the merge proposals, each survivor to each absorbed entity."""
+    p = table(spark, d, "merge_proposals").select(clean_id(F.col("survivor_id")).alias("src"), F.explode("absorbed_ids").alias("dst"))
+    return p.select("src", clean_id(F.col("dst")).alias("dst")).where("src is not null and dst is not null and src <> dst")
 
 
-def _sparse(spark, d):
-    return spark.sql(_SPARSE, lineitem=table(spark, d, "lineitem")).drop("edge_id")
-
-
-@query(f"""with recursive e as ({_SPARSE.replace("{lineitem}", "lineitem")}), u as (select distinct src a, dst b from e union select dst, src from e),
+@query("""with recursive e as (select lower(trim(survivor_id)) as src, lower(trim(unnest(absorbed_ids))) as dst from merge_proposals), u as (select src a, dst b from e where src <> dst and src <> '' and dst <> '' union select dst, src from e where src <> dst and src <> '' and dst <> ''),
        c(id, root) as (select a, a from u union select u.b, c.root from c join u on c.id = u.a where u.b > c.root) select id, min(root) as component from c group by id""")
 def g9_components(spark, d):
-    return graph.components(_sparse(spark, d))
+    return graph.components(_merged(spark, d))
 
 
 @query()
@@ -356,7 +355,7 @@ def g8_core_numbers(spark, d):
 
 @query()
 def g10_communities(spark, d):
-    return graph.communities(_sparse(spark, d))
+    return graph.communities(_merged(spark, d))
 
 
 # --- lifecycle ------------------------------------------------------------------------------------------------------

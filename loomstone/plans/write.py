@@ -62,9 +62,9 @@ def a17_upsert(spark, d):
     return D.latest_upsert(c, new, "c_custkey", "ord").drop("ord")
 
 
-@query("select vec_id, len(embedding) as n from embeddings where vec_id in (select event_id from events where event_id % 11 = 0)")
+@query("select vec_id, len(embedding) as n from embeddings where vec_id in (select user_id from events)")
 def a18_vectors_by_id(spark, d):
-    ids = table(spark, d, "events").where("event_id % 11 = 0").select(F.col("event_id").alias("vec_id"))
+    ids = table(spark, d, "events").select(F.col("user_id").alias("vec_id"))
     return table(spark, d, "embeddings").join(ids, "vec_id", "left_semi").select("vec_id", F.size("embedding").cast("long").alias("n"))
 
 
@@ -165,7 +165,7 @@ def b14_path_order(spark, d):
 
 # --- resolution -----------------------------------------------------------------------------------------------------
 
-_SURFACES = "select concat(n_name, 'a') as surface from {nation} union all select replace(n_name, 'A', 'E') from {nation} union all select p_brand from {part} where p_partkey < 200"
+_SURFACES = "select concat(n_name, 'a') as surface from {nation} union all select replace(n_name, 'A', 'E') from {nation} union all select p_brand from {part}"
 _GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 _SIM = f"(len(list_intersect({_GRAMS.format('surface')}, {_GRAMS.format('alias_text')}))::double / len(list_distinct(list_concat({_GRAMS.format('surface')}, {_GRAMS.format('alias_text')}))))"
 
@@ -175,10 +175,10 @@ def _surfaces(spark, d):
 
 
 def _aliases(spark, d):
-    return spine(spark, d, "aliases")[0].where("entity_id not like 'cust:%'")
+    return spine(spark, d, "aliases")[0]
 
 
-@query(f"""with s as (select distinct surface from ({_SURFACES.replace("{", "").replace("}", "")})), a as (select distinct entity_id, alias_text from s_aliases where entity_id not like 'cust:%'),
+@query(f"""with s as (select distinct surface from ({_SURFACES.replace("{", "").replace("}", "")})), a as (select distinct entity_id, alias_text from s_aliases),
  p as (select surface, entity_id, max({_SIM}) as score from s, a group by all having max({_SIM}) >= 0.3) select surface, entity_id, round(score, 9) as score, row_number() over (partition by surface order by score desc, entity_id) as rank from p qualify rank <= 10""")
 def k2_trigram_candidates(spark, d):
     return resolve.trigram_candidates(_surfaces(spark, d), _aliases(spark, d)).select("surface", "entity_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
@@ -212,10 +212,10 @@ def k7_pocket_clusters(spark, d):
     return resolve.pockets(e, 0.5)
 
 
-@query("""with c as (select c_nationkey as cluster, concat('cust:', c_custkey) as id, c_custkey % 3 as f, c_custkey % 7 + c_custkey % 5 as b from customer where c_custkey % 10 < 3), m as (select cluster, arg_min(id, (f, id)) as survivor, count(distinct id) as n, sum(b) as blast from c group by all)
+@query("""with c as (select c_nationkey as cluster, concat('cust:', c_custkey) as id, c_custkey % 3 as f, c_custkey % 7 + c_custkey % 5 as b from customer), m as (select cluster, arg_min(id, (f, id)) as survivor, count(distinct id) as n, sum(b) as blast from c group by all)
  select cluster, survivor, cast(blast as bigint) as blast, case when blast > 100 then 'review' else 'apply' end as route from m where n > 1""")
 def k8_merges(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 10 < 3").select(F.col("c_nationkey").alias("cluster"), F.concat(F.lit("cust:"), "c_custkey").alias("id"), (F.col("c_custkey") % 3).alias("first_seen"), (F.col("c_custkey") % 7).alias("mention_count"), (F.col("c_custkey") % 5).alias("graph_degree"))
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("cluster"), F.concat(F.lit("cust:"), "c_custkey").alias("id"), (F.col("c_custkey") % 3).alias("first_seen"), (F.col("c_custkey") % 7).alias("mention_count"), (F.col("c_custkey") % 5).alias("graph_degree"))
     return resolve.merges(c).select("cluster", "survivor", "blast", "route")
 
 
@@ -265,7 +265,7 @@ def l2_adjudication_ladder(spark, d):
 
 @query()
 def l5_observation_batch(spark, d):
-    o = table(spark, d, "orders").where("o_custkey % 10 = 0").select(F.concat(F.lit("cust:"), "o_custkey").alias("subject"), F.concat(F.lit("o"), "o_orderkey").alias("observation_id"), F.concat_ws(" ", F.lit("order status"), "o_orderstatus", "o_orderpriority").alias("statement"), F.col("o_orderdate").alias("seq"))
+    o = table(spark, d, "orders").select(F.concat(F.lit("cust:"), "o_custkey").alias("subject"), F.concat(F.lit("o"), "o_orderkey").alias("observation_id"), F.concat_ws(" ", F.lit("order status"), "o_orderstatus", "o_orderpriority").alias("statement"), F.col("o_orderdate").alias("seq"))
     return facts.observation_batch(o)
 
 
