@@ -359,3 +359,105 @@ def grounded(claims: DataFrame) -> DataFrame:
     inside = (at >= 0) & (at + F.length("span") <= F.col("char_end"))
     overlaps = F.exists("kept", lambda k: (k["begin"] < at + F.length("span")) & (k["end"] > at))
     return claims.where(inside & overlaps)
+
+
+# --- conversion and extraction --------------------------------------------------------------------------------------
+
+
+def html_to_markdown(html: str) -> str:
+    """Headings, paragraphs, list items, quotes and preformatted text of an HTML page as Markdown; scripts, styles and tags go."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self) -> None:
+            super().__init__(convert_charrefs=True)
+            self.out: list[str] = []
+            self.skip = self.pre = 0
+
+        def handle_starttag(self, tag, attrs) -> None:
+            if tag in ("script", "style", "noscript", "template", "head"):
+                self.skip += 1
+            elif tag == "pre":
+                self.pre += 1
+                self.out.append("\n\n```\n")
+            elif re.fullmatch("h[1-6]", tag):
+                self.out.append("\n\n" + "#" * int(tag[1]) + " ")
+            elif tag == "li":
+                self.out.append("\n- ")
+            elif tag == "blockquote":
+                self.out.append("\n\n> ")
+            elif tag in ("p", "div", "section", "article", "ul", "ol", "table", "tr"):
+                self.out.append("\n\n")
+            elif tag == "br":
+                self.out.append("\n")
+
+        def handle_endtag(self, tag) -> None:
+            if tag in ("script", "style", "noscript", "template", "head"):
+                self.skip = max(0, self.skip - 1)
+            elif tag == "pre":
+                self.pre = max(0, self.pre - 1)
+                self.out.append("\n```\n\n")
+            elif re.fullmatch("h[1-6]", tag) or tag in ("p", "blockquote", "ul", "ol"):
+                self.out.append("\n\n")
+
+        def handle_data(self, data) -> None:
+            if not self.skip:
+                self.out.append(data if self.pre else re.sub(r"\s+", " ", data))
+
+    reader = Reader()
+    reader.feed(html)
+    reader.close()
+    text = re.sub(r"[ \t]+\n", "\n", "".join(reader.out))
+    return re.sub(r"\n{3,}", "\n\n", text).strip() + "\n"
+
+
+CONVERTERS = {"text/plain": lambda b: b.decode("utf-8", "strict"), "text/markdown": lambda b: b.decode("utf-8", "strict"), "text/html": lambda b: html_to_markdown(b.decode("utf-8", "replace"))}
+
+
+def convert(files: DataFrame, converters: dict = CONVERTERS) -> DataFrame:
+    """(source_ref, markdown, error) of (source_ref, mime, content); a type without converter and undecodable bytes are typed errors, no failures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for ref, mime, content in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    f = converters.get((mime or "").split(";")[0].strip().lower())
+                    rows.append((ref, f(content or b""), None) if f else (ref, None, "unrouted"))
+                except UnicodeDecodeError:
+                    rows.append((ref, None, "undecodable"))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["source_ref", "markdown", "error"])
+
+    return files.select("source_ref", "mime", "content").mapInArrow(run, "source_ref string, markdown string, error string")
+
+
+_SPLIT = re.compile(r"(?<=[.!?。])\s+|\n{2,}")
+
+
+def sentences(text: str, least_words: int = 4) -> list[tuple[str, int, int, bool]]:
+    """(sentence, start, end, kept): the rule in the extractor's seat keeps statements and drops questions, headings, tables, code and short ones."""
+    out, at = [], 0
+    for m in [*_SPLIT.finditer(text), None]:
+        end = m.start() if m else len(text)
+        raw = text[at:end]
+        body = raw.strip()
+        if body:
+            start = at + raw.index(body[0])
+            keep = len(body.split()) >= least_words and not body.endswith("?") and body[0] not in "#|`>" and "```" not in body
+            out.append((body, start, start + len(body), keep))
+        at = m.end() if m else end
+    return out
+
+
+def extract_claims(documents: DataFrame) -> DataFrame:
+    """(doc_id, seq, claim_text, char_start, char_end, kept): one decision a sentence, so the ledger of drops is complete; spans slice the text exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, i, *s) for k, t in zip(*(c.to_pylist() for c in batch.columns)) for i, s in enumerate(sentences(t or ""))]
+            if rows:
+                types = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "seq", "claim_text", "char_start", "char_end", "kept"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, seq int, claim_text string, char_start int, char_end int, kept boolean")

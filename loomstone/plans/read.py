@@ -403,9 +403,6 @@ def l4_supersede(spark, d):
     return lifecycle.supersede(r).select("relation_id", stamp("valid_until").alias("valid_until"))
 
 
-_VERSIONS = """select lineage_id, version_no, bool_or(deleted_at is null) as live from documents where nullif(trim(lineage_id), '') is not null group by all"""
-
-
 @query(f"with v as (select lower(trim(lineage_id)) as lineage_id, version_no, deleted_at from documents where trim(lineage_id) <> '') select lineage_id, max(version_no) as current_version from v where deleted_at is null group by lineage_id")
 def n12_repoint_current_version(spark, d):
     v = table(spark, d, "documents").select(F.lower(F.trim("lineage_id")).alias("lineage_id"), "version_no", "deleted_at", F.lit(True).alias("ready"))

@@ -348,3 +348,21 @@ def test_streamed_windows_equal_the_batch(spark, tmp_path):
         merged.update(batch)
     want = {tuple(r[:3]): tuple(r[3:]) for r in streaming.windows(rows, "10 minutes").collect()}
     assert merged == want and sum(n for n, _ in merged.values()) == 200
+
+
+# --- conversion and extraction --------------------------------------------------------------------------------------
+
+
+def test_html_and_unrouted_files(spark):
+    html = b"<html><head><title>x</title><style>p{}</style></head><body><h2>Top</h2><p>One <b>two</b></p><ul><li>a</li><li>b</li></ul><pre>x = 1</pre><script>bad()</script></body></html>"
+    files = spark.createDataFrame([("a", "text/html; charset=utf-8", bytearray(html)), ("b", "text/plain", bytearray(b"\xff")), ("c", "image/png", bytearray(b"x")), ("d", None, None)], "source_ref string, mime string, content binary")
+    got = {r.source_ref: (r.markdown, r.error) for r in D.convert(files).collect()}
+    assert got["a"][0] == "## Top\n\nOne two\n\n- a\n- b\n\n```\nx = 1\n```\n"
+    assert [got[k] for k in "bcd"] == [(None, "undecodable"), (None, "unrouted"), (None, "unrouted")]
+
+
+def test_sentences_slice_the_text():
+    text = "# Title\n\nThe first statement has words. Is this kept? Short one.\n\nAnother long statement stands here!"
+    got = D.sentences(text)
+    assert all(text[a:b] == s for s, a, b, _ in got)
+    assert [s for s, _, _, keep in got if keep] == ["The first statement has words.", "Another long statement stands here!"]
