@@ -8,10 +8,10 @@ from loomstone.operators.skew import HEAVY_FLOOR, HEAVY_PARTS
 
 
 def target_state(targets: DataFrame, key: str, arrived: str, deleted: str | None = None) -> DataFrame:
-    """One row (key, live, first_live) a target key; rows of one key are pre-aggregated before the shuffle."""
+    """One row (key, target_live, target_first) a target key; rows of one key are pre-aggregated before the shuffle."""
     live = F.col(deleted).isNull() if deleted else F.lit(True)
     return targets.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("key")).agg(
-        F.max(live.cast("int")).alias("live"), F.min(F.when(live, F.col(arrived))).alias("first_live")
+        F.max(live.cast("int")).alias("target_live"), F.min(F.when(live, F.col(arrived))).alias("target_first")
     )
 
 
@@ -22,7 +22,8 @@ def orphans(refs: DataFrame, targets: dict[str, DataFrame], rows: int | None = N
     no row of that key; ``deleted``: all its rows are deleted; ``late``: the first
     row that is not deleted arrived after ``at``. References with a null key do
     not count; with a null ``at`` they are never late. An empty target makes every
-    reference missing, empty references give an empty result.
+    reference missing, empty references give an empty result. Other columns of the
+    references are kept, whatever their names but target_live and target_first.
 
     Plan: references are pre-aggregated per (field, key) with map-side partial
     sums, so the anti-join against the targets sees each key once however many
@@ -34,13 +35,13 @@ def orphans(refs: DataFrame, targets: dict[str, DataFrame], rows: int | None = N
     per_key = refs.groupBy("field", "key").agg(F.count(F.lit(1)).alias("_n"), F.min("at").alias("_first"))
     known = None
     for field, df in targets.items():
-        tagged = df.select(F.lit(field).alias("field"), "key", "live", "first_live")
+        tagged = df.select(F.lit(field).alias("field"), "key", "target_live", "target_first")
         known = tagged if known is None else known.unionByName(tagged)
     judged = per_key.join(known, ["field", "key"], "left")
-    bad = judged.where(F.col("live").isNull() | (F.col("live") == 0) | (F.col("first_live") > F.col("_first"))).select("field", "key", "_n", "live", "first_live")
+    bad = judged.where(F.col("target_live").isNull() | (F.col("target_live") == 0) | (F.col("target_first") > F.col("_first"))).select("field", "key", "_n", "target_live", "target_first")
     rows = refs.count() if rows is None else rows
     state = (
-        F.when(F.col("live").isNull(), F.lit("missing")).when(F.col("live") == 0, F.lit("deleted")).when(F.col("first_live") > F.col("at"), F.lit("late"))
+        F.when(F.col("target_live").isNull(), F.lit("missing")).when(F.col("target_live") == 0, F.lit("deleted")).when(F.col("target_first") > F.col("at"), F.lit("late"))
     )
     limit = max(HEAVY_FLOOR, rows // HEAVY_PARTS)
     on = ["field", "key"]
@@ -51,7 +52,7 @@ def orphans(refs: DataFrame, targets: dict[str, DataFrame], rows: int | None = N
         head = refs.join(heavy, on)
         tail = refs.join(bad.where(F.col("_n") <= limit).drop("_n"), on)
         hit = head.unionByName(tail)
-    return hit.withColumn("orphan_state", state).where(F.col("orphan_state").isNotNull()).drop("live", "first_live")
+    return hit.withColumn("orphan_state", state).where(F.col("orphan_state").isNotNull()).drop("target_live", "target_first")
 
 
 def report(found: DataFrame, period: str) -> DataFrame:

@@ -112,8 +112,8 @@ def test_orphans_by_case(spark):
     )
     refs = spark.createDataFrame(
         [("doc", k, at, i) for i, (k, at) in enumerate([("live", day(5)), ("dead", day(5)), ("both", day(5)), ("late", day(5)), ("late", day(9)), ("nope", day(5)), (None, day(5)), ("late", None), ("nope", day(5))])],
-        "field string, key string, at timestamp, live int",
-    ).withColumnRenamed("live", "link")
+        "field string, key string, at timestamp, link int",
+    ).withColumns({"live": F.lit("clash"), "first_live": F.lit("clash"), "_n": F.lit(0)})
     got = references.orphans(refs, {"doc": references.target_state(docs, "doc", "came", "gone")})
     assert sorted((r.link, r.orphan_state) for r in got.collect()) == [(1, "deleted"), (2, "late"), (3, "late"), (5, "missing"), (8, "missing")]
     counts = references.report(got.withColumn("month", F.date_format("at", "yyyy-MM")), "month").collect()
