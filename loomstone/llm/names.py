@@ -7,7 +7,9 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import blake2b
 from itertools import groupby
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -221,8 +223,10 @@ def same(a: Name, b: Name) -> bool:
 
 
 def block_keys(name: Name, profile: str) -> set[tuple[str, str]]:
-    """(block, code): phonetic codes of the words, whole (code empty) and with one sound of the code left out.
+    """(block, origin): each long word's phonetic code; and the code, and the consonants as written, with one sound left out.
 
+    ``origin`` tells what a sound was left out of, empty for whole codes and
+    consonants, so that words of one origin are not compared in all its blocks.
     Names without a profile add the initials of their other words to the block.
     """
     words = [w for w in name.words if len(w.text) > 1 and not (w.dotted and len(w.text) < LONG)]
@@ -230,17 +234,25 @@ def block_keys(name: Name, profile: str) -> set[tuple[str, str]]:
     keys = set()
     for w in long:
         rest = "" if profile else "".join(sorted(v.text[0] for v in name.words if v is not w and len(v.text) > 1))[:2]
-        for c in {code(w.text), letters(w.text)}:
-            keys.add((f"{profile}|{c}|{rest}", ""))
+        sound, written = code(w.text), letters(w.text)
+        keys.add((f"{profile}|{sound}|{rest}", ""))
+        for c in {sound, written}:
             if len(c) > 3:
-                keys.update((f"{profile}|{c[:i] + c[i + 1 :]}|{rest}", c) for i in range(len(c)))
+                keys.update((f"{profile}|{c[:i] + c[i + 1 :]}|{rest}~", c) for i in range(len(c)))
+                keys.add((f"{profile}|{c}|{rest}~", "" if c == written else c))
     return keys
 
 
+def _digest(text: str) -> int:
+    """A 64-bit number for a block, which is all that the shuffle carries of it."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 NODES = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "kind", "name", "name_key", "profile")])
-_KEYS = T.StructType([T.StructField(c, T.StringType()) for c in ("block", "code", "node", "name")])
+_KEYS = T.StructType([T.StructField("block", T.LongType()), T.StructField("origin", T.IntegerType()), T.StructField("node", T.StringType()), T.StructField("name", T.StringType())])
 _PAIRS = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
-_ARROW = {k: pa.schema([(f.name, pa.string()) for f in s]) for k, s in (("nodes", NODES), ("keys", _KEYS), ("pairs", _PAIRS))}
+_KIND = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.IntegerType(): pa.int32()}
+_ARROW = {k: pa.schema([(f.name, _KIND[f.dataType]) for f in s]) for k, s in (("nodes", NODES), ("keys", _KEYS), ("pairs", _PAIRS))}
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +271,7 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, name, profile in zip(*(c.to_pylist() for c in batch.columns)):
                 for block, c in sorted(block_keys(parse(name), profile)):
-                    yield block, c, node, name
+                    yield _digest(block), crc32(c.encode()) & 0x7FFFFFFF if c else 0, node, name
 
     yield from batched(rows(), _ARROW["keys"])
 
@@ -276,12 +288,12 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = list(members)
             if len(own) == 1:
                 continue
-            clusters: list[list[tuple[str, str, Name]]] = []
+            clusters: list[list[tuple[str, int, Name]]] = []
             for _, c, node, text in own:
                 name = parse(text)
-                joined: list[list[tuple[str, str, Name]]] = []
+                joined: list[list[tuple[str, int, Name]]] = []
                 for cluster in clusters:
-                    # equal codes meet in the block of the whole code, one node meets itself nowhere
+                    # words of one origin meet in the block of the whole, one node meets itself nowhere
                     other = next((n for n, k, known in cluster if n != node and not (c and c == k) and same(name, known)), None)
                     if other is not None:
                         joined.append(cluster)
@@ -309,10 +321,10 @@ def link(entities: DataFrame, kinds: tuple[str, ...] = ("person", "organization"
 
     Plan: equal (name, profile) rows collapse by a partially pre-aggregated groupBy,
     so a name held by a third of all rows is one node. Nodes are blocked by the
-    profile and the phonetic codes of their words, whole and with one sound left
-    out, in one shuffle; each sorted block is a stream that compares Jaro-Winkler
-    and nicknames and gives at most one pair a joined cluster. Pairs are closed by
-    connected components.
+    profile with the phonetic codes of their words, and with these codes and the
+    consonants as written with one left out, in one shuffle of short rows; each
+    sorted block is a stream that compares Jaro-Winkler and nicknames and gives at
+    most one pair a joined cluster. Pairs are closed by connected components.
     """
     scratch = Scratch(entities.sparkSession, "names")
     known = entities.where(F.col("id").isNotNull() & F.col("name").isNotNull()).select("id", F.lower("kind").alias("kind"), "name", "profile").distinct()
@@ -320,7 +332,7 @@ def link(entities: DataFrame, kinds: tuple[str, ...] = ("person", "organization"
     each = nodes.groupBy("name_key", "profile").agg(F.min("id").alias("node"), F.min("name").alias("name"))
     each, _ = scratch.save(each)
     keys = each.select("node", "name", "profile").mapInArrow(_blocked, _KEYS)
-    found, _ = scratch.save(keys.repartition("block").sortWithinPartitions("block", "name", "node", "code").mapInArrow(_compared, _PAIRS))
+    found, _ = scratch.save(keys.repartition("block").sortWithinPartitions("block", "name", "node", "origin").mapInArrow(_compared, _PAIRS))
     # ids of one node, the spellings of one id, and the accepted pairs
     own = nodes.join(each.select("name_key", "profile", "node"), ["name_key", "profile"]).select(F.col("id").alias("a"), F.col("node").alias("b"))
     ties, _ = scratch.save(own.unionByName(found))
