@@ -167,6 +167,24 @@ def one_slip(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
 
 
+def slips(a: str, b: str, most: int = 2) -> int:
+    """Letters put in, left out, replaced or swapped with their neighbour between two words, counted up to ``most`` + 1."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    before: list[int] = []
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i] + [0] * len(b)
+        for j, y in enumerate(b, 1):
+            new[j] = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                new[j] = min(new[j], before[j - 2] + 1)
+        if min(new) > most:
+            return most + 1
+        before, row = row, new
+    return min(row[-1], most + 1)
+
+
 def _gendered(a: str, b: str) -> bool:
     """Two forms of a family name, of a man and of a woman."""
     short, long = sorted((a, b), key=len)
@@ -190,7 +208,8 @@ def _match(a: Word, b: Word) -> int:
         return 0
     if min(len(x), len(y)) >= LONG:
         s = jaro_winkler(x, y)
-        return 2 if s >= CLOSE or s >= SOUNDS and code(x) == code(y) or min(len(x), len(y)) > LONG and one_slip(x, y) else 0
+        close = s >= CLOSE and slips(x, y) <= 2  # a long shared beginning alone is not enough
+        return 2 if close or s >= SOUNDS and code(x) == code(y) or min(len(x), len(y)) > LONG and one_slip(x, y) else 0
     if min(len(x), len(y)) >= 3 and not (x in _PET and y in _PET):  # two known names are two names
         return int(one_slip(x, y))
     return 0
