@@ -1,18 +1,16 @@
-"""Evaluation items leaking into documents: rare n-gram seeds, then local alignment."""
+"""Evaluation items leaking into documents: n-gram seeds, then local alignment."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from loomstone.runtime import Scratch
-
 #: Words of a seed, and consecutive words that make a leak.
 SEED, RUN = 5, 10
 #: Items are held on every executor in blocks of at most this many characters.
@@ -60,24 +58,6 @@ class Index:
         out.places = dict(places)
         return out
 
-    def rare(self, counts: dict[tuple[str, ...], int]) -> Index:
-        """Keeps, of every run of RUN words, the n-grams found in at most twice the fewest documents, but in one.
-
-        A run that stands in a document has no n-gram that none holds, so each exact leak holds one of them; the others find copies in which some words are replaced.
-        """
-        keep = defaultdict(list)
-        for n, (_, _, ws) in enumerate(self.passages):
-            grams = [tuple(ws[i : i + SEED]) for i in range(len(ws) - SEED + 1)]
-            seen = [counts.get(g, 0) for g in grams]
-            chosen: set[int] = set()
-            for s in range(len(ws) - RUN + 1):
-                run = range(s, s + RUN - SEED + 1)
-                fewest = min((seen[i] for i in run if seen[i]), default=0)
-                chosen.update(i for i in run if 0 < seen[i] <= 2 * fewest)
-            for i in sorted(chosen):
-                keep[grams[i]].append((n, i))
-        return Index(self.passages, dict(keep))
-
 
 def _hits(ws: list[str], second: dict[str, set[str]], places: dict) -> Iterator[tuple[int, tuple[str, ...]]]:
     """Positions of indexed n-grams; the first two words rule out nearly all of them."""
@@ -146,7 +126,7 @@ FOUND = T.StructType([
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Aligned passages (doc_id, item_id, field, score, matched_words, item_words, run_words).
 
-    One row for each document, item and field that share a rare seed and either a
+    One row for each document, item and field that share a seed and either a
     run of RUN words or an alignment of at least EDITED of the best possible
     score. ``run_words`` is the longest run of equal consecutive words. Null and
     empty texts and items hold nothing; fields of fewer than RUN words cannot
@@ -155,11 +135,10 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
     Plan: the items are read in blocks of bounded size, each held by every
     executor, so their number may grow. For each block one scan of the documents
-    keeps those that hold any item n-gram, in the shared scratch folder. Their
-    n-grams are counted (partial sums, one small shuffle) to choose the rarest seed
-    of every run; then a map over the kept documents finds the seeds and aligns the
-    passages around them in the same task. No text is shuffled and no number of
-    candidates is capped.
+    finds all item n-grams, frequent ones too, and aligns the passages around them
+    in the same task. Stretches with too few words of the passage for any row are
+    not aligned. Nothing is shuffled or written, and no number of candidates is
+    capped.
     """
     spark = documents.sparkSession
     docs = documents.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
@@ -183,28 +162,10 @@ def _blocks(items: DataFrame) -> Iterator[Index]:
 
 
 def _search(docs: DataFrame, index: Index) -> DataFrame:
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(index)  # bounded by BLOCK_CHARS
-
-    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = shared.value.places
-        second = _second(places)
-        for batch in batches:
-            rows = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                grams = {gram for _, gram in _hits(words(t), second, places)}
-                if grams:
-                    rows.append((k, t, sorted(map(" ".join, grams))))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.string(), pa.list_(pa.string())])], names=["k", "t", "grams"])
-
-    held, _ = Scratch(spark, "leaks").save(docs.mapInArrow(hold, "k long, t string, grams array<string>"))
-    counted = held.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    counts = {tuple(r[0].split(" ")): r[1] for r in counted.collect()}  # no more rows than the block has n-grams
-    seeds = spark.sparkContext.broadcast(index.rare(counts))
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by BLOCK_CHARS
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = seeds.value
+        own = shared.value
         second = _second(own.places)
         for batch in batches:
             rows: list[tuple] = []
@@ -222,7 +183,7 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=FOUND.fieldNames())
 
-    return held.select("k", "t").mapInArrow(search, FOUND)
+    return docs.mapInArrow(search, FOUND)
 
 
 _TYPES = [pa.int64(), pa.int64(), pa.string(), *[pa.int32()] * 4]
@@ -231,11 +192,13 @@ _TYPES = [pa.int64(), pa.int64(), pa.string(), *[pa.int32()] * 4]
 def _judge(ws: list[str], begins: list[int], passage: list[str]) -> tuple[int, int, int, int] | None:
     """Best alignment of the passage over the stretches of text around its seeds."""
     m, best, run = len(passage), (0, 0), 0
+    own, least = Counter(passage), min(RUN, EDITED * len(passage))  # fewer words in common give no row
     stretch: list[int] | None = None
     for b in [*sorted(set(begins)), None]:
         if stretch is not None and (b is None or b - m // 2 > stretch[1]):
             part = ws[max(0, stretch[0]) : stretch[1]]
-            best, run = max(best, align(passage, part)), max(run, longest_run(passage, part))
+            if (own & Counter(part)).total() >= least:
+                best, run = max(best, align(passage, part)), max(run, longest_run(passage, part))
             stretch = None
         if b is not None:
             low, high = b - m // 2, b + m + m // 2

@@ -227,6 +227,15 @@ def test_edited_copies_are_aligned(spark):
     assert leaks.leaks(spark.createDataFrame([(5, edited)], "doc_id long, text string"), items.limit(0)).count() == 0
 
 
+def test_frequent_edited_copies_are_not_hidden_by_a_rare_one(spark):
+    ws = [f"w{i}" for i in range(20)]
+    edit = lambda *at: " ".join("other" if i + 1 in at else w for i, w in enumerate(ws))
+    docs = [(i, edit(8, 16)) for i in range(30)] + [(99, edit(4, 12))]
+    items = spark.createDataFrame([(1, " ".join(ws), None)], "item_id long, question string, answer string")
+    got = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id, r.matched_words) for r in got) == [(d, 18) for d, _ in docs]
+
+
 def test_items_in_blocks_give_the_same(spark, monkeypatch):
     items = [(i, " ".join(f"q{i}x{j}" for j in range(12)), None) for i in range(5)]
     docs = spark.createDataFrame([(i, q) for i, q, _ in items], "doc_id long, text string")
