@@ -17,7 +17,7 @@ SEED, RUN = 5, 10
 BLOCK_CHARS = 32_000_000
 #: Alignment scores: equal word, different word, skipped word. Fixed values.
 EQUAL, DIFFERENT, SKIPPED = 2, -1, -1
-#: Share of an item's best possible score from which an edited copy counts.
+#: Share of the best possible score, of the item or of an aligned stretch with RUN equal words, from which an edited copy counts.
 EDITED = 0.6
 
 _WORD = re.compile(r"[^\W_]+")
@@ -102,6 +102,36 @@ def align(a: list[str], b: list[str]) -> tuple[int, int]:
     return best, matched
 
 
+def edited_part(a: list[str], b: list[str]) -> bool:
+    """Whether an alignment of any part has RUN equal words and, by its own length, EDITED of the best possible score.
+
+    Looked for on the paths of best score, which also span small gaps, and on those
+    of best score above EDITED, which leave thin surroundings out.
+    """
+    share = EDITED * EQUAL
+    for equal, other in ((EQUAL, DIFFERENT), (EQUAL - share, DIFFERENT - share)):
+        row = [(0, 0, 0)] * (len(b) + 1)  # score, equal words, minus columns
+        for x in a:
+            new, diagonal = [(0, 0, 0)], row[0]
+            for j, y in enumerate(b, 1):
+                up, left = row[j], new[-1]
+                if x == y:
+                    top = (diagonal[0] + equal, diagonal[1] + 1, diagonal[2] - 1)
+                else:
+                    top = (diagonal[0] + other, diagonal[1], diagonal[2] - 1)
+                for from_ in (up, left):
+                    if from_[0] + other > top[0]:
+                        top = (from_[0] + other, from_[1], from_[2] - 1)
+                if top[0] <= 0:
+                    top = (0, 0, 0)
+                elif top[1] >= RUN and EQUAL * top[1] + DIFFERENT * (-top[2] - top[1]) >= -share * top[2]:
+                    return True
+                new.append(top)
+                diagonal = up
+            row = new
+    return False
+
+
 def longest_run(a: list[str], b: list[str]) -> int:
     """Most consecutive words that both hold."""
     best, row = 0, [0] * (len(b) + 1)
@@ -127,8 +157,9 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """Aligned passages (doc_id, item_id, field, score, matched_words, item_words, run_words).
 
     One row for each document, item and field that share a seed and either a
-    run of RUN words or an alignment of at least EDITED of the best possible
-    score. ``run_words`` is the longest run of equal consecutive words. Null and
+    run of RUN words, an alignment of at least EDITED of the item's best possible
+    score, or one of a part with RUN equal words and at least EDITED of the best
+    possible score of that part. ``run_words`` is the longest run of equal consecutive words. Null and
     empty texts and items hold nothing; fields of fewer than RUN words cannot
     leak; repeated documents give repeated rows, repeated items count once; empty
     tables give an empty result; other columns are ignored.
@@ -191,18 +222,19 @@ _TYPES = [pa.int64(), pa.int64(), pa.string(), *[pa.int32()] * 4]
 
 def _judge(ws: list[str], begins: list[int], passage: list[str]) -> tuple[int, int, int, int] | None:
     """Best alignment of the passage over the stretches of text around its seeds."""
-    m, best, run = len(passage), (0, 0), 0
+    m, best, run, parts = len(passage), (0, 0), 0, []
     own, least = Counter(passage), min(RUN, EDITED * len(passage))  # fewer words in common give no row
     stretch: list[int] | None = None
     for b in [*sorted(set(begins)), None]:
         if stretch is not None and (b is None or b - m // 2 > stretch[1]):
             part = ws[max(0, stretch[0]) : stretch[1]]
             if (own & Counter(part)).total() >= least:
+                parts.append(part)
                 best, run = max(best, align(passage, part)), max(run, longest_run(passage, part))
             stretch = None
         if b is not None:
             low, high = b - m // 2, b + m + m // 2
             stretch = [low, high] if stretch is None else [stretch[0], max(stretch[1], high)]
-    if run >= RUN or best[0] >= EDITED * EQUAL * m:
+    if run >= RUN or best[0] >= EDITED * EQUAL * m or any(edited_part(passage, part) for part in parts):
         return best[0], best[1], m, run
     return None

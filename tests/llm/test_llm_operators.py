@@ -236,6 +236,19 @@ def test_frequent_edited_copies_are_not_hidden_by_a_rare_one(spark):
     assert sorted((r.doc_id, r.matched_words) for r in got) == [(d, 18) for d, _ in docs]
 
 
+def test_edited_copies_of_a_part_are_aligned(spark):
+    question, answer = [f"q{i}" for i in range(25)], [f"a{i}" for i in range(60)]
+    part = ["before", *question[5:12], "other", *question[13:20], "after"]
+    half = ["before", *("other" if i % 8 == 7 else w for i, w in enumerate(answer[:30])), "after"]
+    few = ["before", *question[:7], "and", "so", "on", "until", question[20], "then"]
+    items = spark.createDataFrame([(1, " ".join(question), " ".join(answer))], "item_id long, question string, answer string")
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate((part, half, few))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.field, r.matched_words) for r in leaks.leaks(docs, items).collect()) == [(0, "question", 14), (1, "answer", 27)]
+    # a match before a slip counts with the nine after it; thin surroundings do not take a dense part down
+    assert leaks.edited_part(answer, ["a0", "x", *answer[2:11]]) and not leaks.edited_part(answer, ["a0", "x", *answer[2:10]])
+    assert leaks.edited_part(answer, [w if 20 <= i < 32 and i != 26 or i % 3 == 0 else "x" for i, w in enumerate(answer)])
+
+
 def test_items_in_blocks_give_the_same(spark, monkeypatch):
     items = [(i, " ".join(f"q{i}x{j}" for j in range(12)), None) for i in range(5)]
     docs = spark.createDataFrame([(i, q) for i, q, _ in items], "doc_id long, text string")
