@@ -191,11 +191,24 @@ def _gendered(a: str, b: str) -> bool:
     return long in (short + "ova", short.removesuffix("a") + "ova", short.removesuffix("y") + "a") and short != long and long.endswith(("ova", "ska", "cka"))
 
 
+@lru_cache(maxsize=100_000)
+def _signs(word: str) -> tuple[int, str]:
+    """The set of characters as bits, one for each by its number modulo 61, and the phonetic code."""
+    bits = 0
+    for c in word:
+        bits |= 1 << ord(c) % 61
+    return bits, code(word)
+
+
 def _match(a: Word, b: Word) -> int:
     """2: spellings of one word; 1: an initial, abbreviation or short form of the other; 0: neither."""
     x, y = a.text, b.text
     if x == y:
         return 2 if len(x) > 1 else 1
+    if len(x) >= LONG and len(y) >= LONG and not (a.dotted or b.dotted or x in _PET or y in _PET):
+        (p, sound), (q, other) = _signs(x), _signs(y)
+        if sound != other and ((p & ~q).bit_count() > 2 or (q & ~p).bit_count() > 2):
+            return 0  # more than two slips, so no rule below holds
     if len(x) == 1 or len(y) == 1:
         return int(x[0] == y[0] or any(n[0] == min(x, y, key=len) for n in _PET.get(max(x, y, key=len), ())))
     if (_PET.get(x, set()) | {x}) & (_PET.get(y, set()) | {y}):
@@ -226,7 +239,10 @@ def same(a: Name, b: Name) -> bool:
         return False
     left = list(range(len(b.words)))
     pairs, loose = [], []
-    options = sorted(((m, -abs(i - j), i, j) for i, x in enumerate(a.words) for j, y in enumerate(b.words) if (m := _match(x, y))), reverse=True)
+    options = [(m, -abs(i - j), i, j) for i, x in enumerate(a.words) for j, y in enumerate(b.words) if (m := _match(x, y))]
+    if len(options) < min(2, len(a.words), len(b.words)) or not any(m == 2 for m, *_ in options):
+        return False
+    options.sort(reverse=True)
     used: set[int] = set()
     for m, _, i, j in options:
         if i not in used and j in left:
@@ -246,18 +262,18 @@ def block_keys(name: Name, profile: str) -> set[tuple[str, str]]:
 
     ``origin`` tells what a sound was left out of, empty for whole codes and
     consonants, so that words of one origin are not compared in all its blocks.
-    Names without a profile add the initials of their other words to the block.
+    Names without a profile have no more in their blocks: the other words may be
+    short forms, initials or misspelt from their first letter on.
     """
     words = [w for w in name.words if len(w.text) > 1 and not (w.dotted and len(w.text) < LONG)]
     long = [w for w in words if len(w.text) >= LONG and w.text not in _PET] or words or list(name.words)
     keys = set()
     for w in long:
-        rest = "" if profile else "".join(sorted(v.text[0] for v in name.words if v is not w and len(v.text) > 1))[:2]
         sound, written = code(w.text), letters(w.text)
-        keys.add((f"{profile}|{sound}|{rest}", ""))
+        keys.add((f"{profile}|{sound}|", ""))
         for c in {sound, written}:
-            keys.update((f"{profile}|{c[:i] + c[i + 1 :]}|{rest}~", c) for i in range(len(c)))
-            keys.add((f"{profile}|{c}|{rest}~", "" if c == written else c))
+            keys.update((f"{profile}|{c[:i] + c[i + 1 :]}|~", c) for i in range(len(c)))
+            keys.add((f"{profile}|{c}|~", "" if c == written else c))
     return keys
 
 

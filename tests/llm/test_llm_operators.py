@@ -334,6 +334,12 @@ def test_slips_in_names_of_few_consonants_share_a_block(a, b):
     assert any(not own[k] or own[k] != other[k] for k in own.keys() & other.keys())
 
 
+def test_names_without_profile_are_linked_by_spelling(spark):
+    rows = [("1", "Robert Kelzulufal"), ("2", "Bob Kelzulufal"), ("3", "Jan Novotny"), ("4", "J. Novotny"), ("5", "Hana Silpewenild"), ("6", "Ahna Silpewenild"), ("7", "Karel Kelzulufal"), ("8", "Petr Novotny")]
+    df = spark.createDataFrame([(i, "person", n, None) for i, n in rows], "id string, kind string, name string, profile string")
+    assert sorted(map(tuple, names.pairs(names.link(df)).collect())) == [("1", "2"), ("3", "4"), ("5", "6")]
+
+
 def test_jaro_winkler():
     assert names.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
     assert names.jaro_winkler("dixon", "dicksonx") == pytest.approx(0.8133, abs=1e-4)
