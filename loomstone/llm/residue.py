@@ -14,6 +14,8 @@ from loomstone.runtime import Scratch
 
 #: A message that only weak rules describe counts once it stands in so many documents of so many sources.
 WIDE_DOCUMENTS, WIDE_SOURCES = 5, 2
+#: Dummy words that make a stretch of filler within a sentence.
+LATIN_WORDS = 5
 
 # --- fixed values: words and phrases of residue, in natural order ---------------------------------------------------
 #: Names of fields that templates leave open.
@@ -158,6 +160,8 @@ _WEAK = _any(WEAK)
 #: Codes that may stand before an error sentence.
 _CODE = re.compile(r"^(?:(?:\(?(?:error|err|http|code|status|fehler|fehlercode|chyba|kód|błąd)\W*(?:0|#)[^a-z]*|0|#)[\s:.\-–—()]*)+")
 _LATIN, _KEYS = frozenset(LATIN), frozenset("asdfghjklqwe")
+#: Dummy words that are words of living languages too.
+_ENGLISH = frozenset("a ad ante est et in me nec non sed sit sem urna ut vitae massa magna integer tempus libero dolor eros varius semper ex id orci cursus".split())
 _ROWS = frozenset(("asd", "asdf", "hjkl", "jkl", "jklö", "qwer", "qwerty", "uiop", "wer", "yxcv", "zxcv"))
 _FENCE = re.compile(r"(?:^|\n)[ \t]*(```|~~~).*?(?:\n[ \t]*\1[^\n]*|\Z)", re.DOTALL)
 _TICKS = re.compile(r"`[^`\n]{1,200}`")
@@ -207,17 +211,30 @@ def mask(sentence: str) -> str:
 
 
 def _filler_words(sentence: str) -> bool:
-    """Dummy Latin, one word over and over, or keys struck at random."""
-    start = _WORD.findall(sentence[:60].lower())
-    if len(start) < 3 or not (start[0] == start[1] == start[2] or not _LATIN.isdisjoint(start[:3]) or _KEYS.issuperset(start[0]) or start[0] in _ROWS):
-        return False
+    """A stretch of dummy Latin, one word over and over, or keys struck at random, anywhere in a sentence."""
     ws = _WORD.findall(sentence.lower())
+    if len(ws) < 3:
+        return False
     if len(set(ws)) == 1:
         return True
+    # best stretch of dummy words, by 3 for each dummy word and -7 for another: more than 0.7 of the words are dummy words
+    score = held = 0
+    seen: set[str] = set()
+    for w in ws:
+        if w in _LATIN:
+            score, held = score + 3, held + 1
+            seen.add(w)
+            if held >= LATIN_WORDS and len(seen) >= LATIN_WORDS - 1 and not seen <= _ENGLISH:
+                return True
+        elif score:
+            score -= 7
+            if score <= 0:
+                score = held = 0
+                seen.clear()
+    if not _LATIN.isdisjoint(ws[:3]):
+        return len(ws) >= 4 and sum(w in _LATIN for w in ws) >= 0.7 * len(ws)
     if len(ws) < 4:
         return False
-    if ws[0] in _LATIN or ws[1] in _LATIN or ws[2] in _LATIN:
-        return sum(w in _LATIN for w in ws) >= 0.7 * len(ws)
     if _KEYS.issuperset(ws[0]) and _KEYS.issuperset(ws[1]) and _KEYS.issuperset(ws[2]):
         vowels = sum(c in "ae" for w in ws for c in w)
         return all(_KEYS.issuperset(w) for w in ws) and vowels < 0.34 * sum(map(len, ws))
@@ -246,10 +263,15 @@ def messages(text: str) -> Iterator[tuple[str, str | None]]:
                 yield mask(sentence), "placeholder"
             elif _filler_words(sentence):
                 yield mask(sentence), "filler"
+        if len(lines) > 1:
+            for line in lines:
+                for sentence in _SENTENCE.split(line):
+                    if _filler_words(sentence):
+                        yield mask(sentence), "filler"
         if not cued or not has_cue(block.lower()):
             continue
         for sentence in {*sentences, *(s for line in lines for s in _SENTENCE.split(line))}:
-            if len(sentence) > 300 or not has_cue(sentence.lower()):
+            if not has_cue(sentence.lower()):
                 continue
             masked = mask(sentence)
             bare = _CODE.sub("", masked)

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -283,6 +284,18 @@ def test_talk_about_residue_is_left(text):
     assert not list(residue.messages(text)), list(residue.messages(text))
 
 
+@pytest.mark.parametrize("text", ["Our new product: Lorem ipsum dolor sit amet consectetur adipiscing elit", "Our new product\nLorem ipsum dolor sit amet consectetur adipiscing elit.", "Sample text " + "with more words " * 30, "We are doing maintenance " + "on all of the racks " * 20])
+def test_residue_after_other_words_and_in_long_sentences(text):
+    assert any(kind for _, kind in residue.messages(text))
+
+
+def test_long_sentences_take_linear_time():
+    began = time.perf_counter()
+    for start in ("we could ", "0 0 0 0 ", "this file ", "error: error: ", "your browser "):
+        list(residue.messages(start * 20_000 + "not be available"))
+    assert time.perf_counter() - began < 20
+
+
 def test_masks_group_equal_messages():
     assert residue.mask("HTTP 503 at 2024-01-02, see https://a.b/c?d=1 or 10.0.0.1 (id 5935f70c)") == "http 0 at 0, see @ or @ (id #)"
 
