@@ -175,7 +175,7 @@ _IDENT = re.compile(r"\b(?=[a-z\-]*\d)(?=[\d\-]*[a-z])[0-9a-f]{4,}(?:-[0-9a-f]{2
 _NUMBER = re.compile(r"\d+(?:[.,:/\-]\d+)*")
 #: One of these stands in every sentence that a phrase rule can match; texts without any are done at once.
 CUES = (
-    "script", "js", "active content", "cookie", "browser", "przegląd", "prohlížeč", "zobrazení", "表示", "見つかり", "not be", "cannot", "can't", "can not",
+    "script", "skript", "skrypt", "aby zobacz", "js", "active content", "cookie", "browser", "przegląd", "prohlížeč", "zobrazení", "表示", "見つかり", "not be", "cannot", "can't", "can not",
     "couldn't", "exist", "timed out", "response", "failed to", "removed by", "available", "expired", "limited for", "nepodařilo", "nelze", "istnieje",
     "nicht ge", "nicht angez", "not found", "denied", "forbidden", "gateway", "server", "too many", "permission", "internal error", "maintenance",
     "content filter", "sign in", "znaleziono", "nenalezena", "błąd", "try again", "start page", "the address", "http", "error", "code", "status", "chyba",

@@ -296,6 +296,20 @@ def test_long_sentences_take_linear_time():
     assert time.perf_counter() - began < 20
 
 
+PHRASES = [
+    "Bitte aktivieren Sie Skripte.", "Bitte erlauben Sie Skripte in den Einstellungen.", "Aby zobaczyć te strone, włącz skrypty.", "Aby zobaczyć tę stronę, włącz obsługę.", "Twoja przeglądarka ma wyłączone skrypty.",
+    "Dieser Browser blockiert Skripte.", "Váš prohlížeč má vypnuté skripty.", "Pro zobrazení stránky zapněte skripty.", "Body copy goes here", "Hier steht später Text.", "Tu będzie treść", "Tekst zastępczy", "Zde bude text",
+    "Add two lines about the topic here", "Internal server error", "Too many requests", "Service unavailable", "We can't find what you're looking for", "We cannot find what you are looking for", "The page timed out",
+    "Stránka nenalezena", "Nie znaleziono strony", "Seite nicht gefunden", "Die Seite konnte nicht angezeigt werden", "Blocked by the content filter", "An internal error while loading", "Strona nie istnieje",
+    "The page you asked for is not on this server", "Please sign in again to read", "The file has been removed by an administrator", "The page failed to load", "Access has been limited for 5 minutes",
+]
+
+
+@pytest.mark.parametrize("text", PHRASES)
+def test_sentences_of_the_phrase_rules_pass_the_prefilter(text):
+    assert residue._cues()(text.lower()) and [kind for _, kind in residue.messages(text) if kind], text
+
+
 def test_masks_group_equal_messages():
     assert residue.mask("HTTP 503 at 2024-01-02, see https://a.b/c?d=1 or 10.0.0.1 (id 5935f70c)") == "http 0 at 0, see @ or @ (id #)"
 
