@@ -331,6 +331,11 @@ def h15_path(spark, d):
     return graph.path(edges, "supp:1", "region:2", 4).select("node", "hop")
 
 
+def _live(spark, d):
+    """The whole live projection, all predicates."""
+    return graph.live_edges(_edges(spark, d), AT)
+
+
 def _merged(spark, d):
     """The links of the merge proposals, each survivor to each absorbed entity."""
     p = table(spark, d, "merge_proposals").select(clean_id(F.col("survivor_id")).alias("src"), F.explode("absorbed_ids").alias("dst"))
@@ -345,17 +350,22 @@ def g9_components(spark, d):
 
 @query()
 def g7_pagerank(spark, d):
-    return graph.pagerank(_edges(spark, d, "located_in", "part_of", "uses")).select("id", F.round("rank", 12).alias("rank"))
+    return graph.pagerank(_live(spark, d)).select("id", F.round("rank", 12).alias("rank"))
 
 
 @query()
 def g8_core_numbers(spark, d):
-    return graph.core_numbers(_edges(spark, d, "located_in", "part_of", "uses"))
+    return graph.core_numbers(_live(spark, d))
 
 
 @query()
 def g10_communities(spark, d):
-    return graph.communities(_merged(spark, d))
+    return graph.communities(_live(spark, d))
+
+
+@query()
+def g9_live_components(spark, d):
+    return graph.components(_live(spark, d))
 
 
 # --- lifecycle ------------------------------------------------------------------------------------------------------

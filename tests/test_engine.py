@@ -366,3 +366,12 @@ def test_sentences_slice_the_text():
     got = D.sentences(text)
     assert all(text[a:b] == s for s, a, b, _ in got)
     assert [s for s, _, _, keep in got if keep] == ["The first statement has words.", "Another long statement stands here!"]
+
+
+def test_graph_analytics_cover_the_live_projection(spark):
+    import __spark_entry__ as entry
+
+    d, queries = "/root/testdata/sf0.001", entry.queries()
+    want = {r.id for r in queries["g11_degree"](spark, d).collect()}
+    for name in ("g7_pagerank", "g9_live_components"):
+        assert {r.id for r in queries[name](spark, d).collect()} == want, name
