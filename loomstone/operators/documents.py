@@ -7,12 +7,18 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loomstone.runtime import Scratch
+
 BUDGET, ANCHOR_MODULUS, ANCHOR_GAP, DEPTH = 400, 24, 200, 16
-ROLES = ("abstract", "acknowledgements", "appendix", "body", "boilerplate", "conclusion", "discussion", "front_matter", "introduction", "methods", "nav", "references", "results", "toc")
+#: Roles of sections. Fixed values.
+ROLES = (
+    "body", "abstract", "introduction", "results", "methods", "discussion", "conclusion", "references", "appendix", "table", "figure_caption", "nav", "boilerplate", "legal",
+)
 
 
 # --- sources --------------------------------------------------------------------------------------------------------
@@ -187,68 +193,83 @@ def block_rows(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
 # --- sections -------------------------------------------------------------------------------------------------------
 
 
-def snap(spans: list[tuple[int, int]], proposed: list[dict]) -> list[tuple]:
-    """(node_path, parent_path, title, role, block_start, block_end) of a proposed tree on the block grid, root first.
-
-    Each proposal ({title, role, char_start, char_end, children}) moves back to the
-    block that holds its begin; siblings with one begin become one, the longer
-    keeping the children of both; siblings tile forward to their parent's end; what
-    lies outside its parent or has no length is dropped; at most DEPTH levels; an
-    unknown role is body. A document without blocks has the root alone.
-    """
-    last = len(spans) - 1
-    out: list[tuple] = [("0", None, "", "body", 0, last)]
-    if last < 0:
-        return out
-    begins = [a for a, _ in spans]
-    from bisect import bisect_right
-
-    def place(nodes: list[dict], path: str, lo: int, hi: int, depth: int) -> None:
-        if depth >= DEPTH:
-            return
-        kept: list[list] = []
-        sized = []
-        for seq, node in enumerate(nodes):
-            a, b = node["char_start"], node["char_end"]
-            if b <= a or b <= spans[lo][0] or a >= spans[hi][1]:
-                continue
-            at = max(lo, max(0, bisect_right(begins, a) - 1))
-            if at <= hi:
-                sized.append((at, a - b, seq, node))
-        for at, _, _, node in sorted(sized, key=lambda x: x[:3]):
-            if kept and kept[-1][0] == at:
-                kept[-1][2].extend(node["children"])
-            else:
-                kept.append([at, node, list(node["children"])])
-        for i, (at, node, children) in enumerate(kept):
-            end = kept[i + 1][0] - 1 if i + 1 < len(kept) else hi
-            mine = f"{path}.{i}"
-            out.append((mine, path, node["title"], node["role"] if node["role"] in ROLES else "body", at, end))
-            place(children, mine, at, end, depth + 1)
-
-    place(proposed, "0", 0, last, 1)
-    return out
+def _on_grid(grid: DataFrame, proposed: DataFrame) -> DataFrame:
+    """Proposals with ``at``: the last grid position that begins at or before them, by one running maximum over both sorted by character."""
+    marks = grid.select("doc_id", F.col("char_start").alias("c"), "pos", F.lit(None).cast("string").alias("section_id"))
+    starts = proposed.select("doc_id", F.col("char_start").alias("c"), F.lit(None).cast("int").alias("pos"), "section_id")
+    upto = Window.partitionBy("doc_id").orderBy("c").rangeBetween(Window.unboundedPreceding, 0)
+    met = marks.unionByName(starts).withColumn("at", F.coalesce(F.max("pos").over(upto), F.lit(0))).where("section_id is not null")
+    return proposed.join(met.select("doc_id", "section_id", "at"), ["doc_id", "section_id"])
 
 
 def snapped_sections(blocks: DataFrame, sections: DataFrame) -> DataFrame:
-    """Snapped trees of all documents from blocks (doc_id, ordinal, char_start, char_end) and proposals (doc_id, section_id, title, role, char_start, char_end, children)."""
-    schema = "doc_id long, node_path string, parent_path string, title string, role string, block_start int, block_end int"
-
-    def run(key, b: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        b = b.drop_duplicates("ordinal").sort_values("ordinal")
-        rows = {r.section_id: r for r in s.drop_duplicates("section_id").itertuples() if r.section_id}
-        inner = {c for r in rows.values() for c in (r.children if r.children is not None else []) if c in rows and c != r.section_id}
-
-        def tree(ident: str, above: tuple = ()) -> dict:
-            r = rows[ident]
-            kids = [c for c in dict.fromkeys(r.children if r.children is not None else []) if c in rows and c not in (*above, ident)]
-            return {"title": r.title or "", "role": r.role, "char_start": int(r.char_start), "char_end": int(r.char_end), "children": [tree(c, (*above, ident)) for c in kids]}
-
-        roots = [tree(i) for i in sorted(rows) if i not in inner]
-        found = snap(list(zip(b.char_start.astype(int), b.char_end.astype(int))), roots)
-        return pd.DataFrame([(key[0], *f) for f in found], columns=["doc_id", "node_path", "parent_path", "title", "role", "block_start", "block_end"])
-
-    return blocks.groupBy("doc_id").cogroup(sections.groupBy("doc_id")).applyInPandas(run, schema)
+    """(doc_id, node_path, parent_path, title, role, block_start, block_end, char_start, char_end, summary) of proposed trees on the block grid.
+
+    Input are blocks (doc_id, ordinal, char_start, char_end) and proposals (doc_id,
+    section_id, title, role, char_start, char_end, summary, children), roots being
+    those that no other lists, in the order of their ids. A proposal moves back to
+    the block that holds its begin, but not before its parent. Of siblings on one
+    block the longest stays (ties: listed first) and takes the children of all.
+    Siblings tile: each ends before the next, the last with its parent. What has no
+    length or lies outside its parent goes with all below it; so does what lies DEPTH
+    or more levels down, and a section listed below itself. Roles lose blanks and
+    letter case, unknown ones are body.
+
+    Every document of either table has a root '0' over all its blocks, 0 to -1 if it
+    has none. Blocks without a span have no place on the grid; rows without
+    document or section id do not count; repeated rows count once; other columns
+    are ignored; empty tables give an empty result.
+
+    Plan: begins meet the grid once, in a running maximum. Then each level of all
+    documents is one set: a window over siblings gives place, end and number of
+    each, and their children are the next level, so there are DEPTH rounds at most.
+    """
+    scratch = Scratch(blocks.sparkSession, "sections")
+    keyed = blocks.where("doc_id is not null and ordinal is not null and char_start is not null and char_end is not null")
+    once = keyed.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "ordinal").agg(F.min(F.struct("char_start", "char_end")).alias("span"))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal")) - 1
+    grid, _ = scratch.save(once.select("doc_id", number.alias("pos"), "ordinal", "span.*"))
+    none = F.lit(None).cast("string")
+    told = sections.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "section_id", "title", "role", "char_start", "char_end", (F.col("summary") if "summary" in sections.columns else none).alias("summary"), "children")
+    each = told.where("section_id is not null").groupBy("doc_id", "section_id").agg(F.max(F.struct("char_start", "char_end", "title", "role", "summary", "children")).alias("s")).select("doc_id", "section_id", "s.*")
+    known, _ = scratch.save(_on_grid(grid, each.where("char_end > char_start")))
+    listed = each.select("doc_id", F.col("section_id").alias("by"), F.explode("children").alias("section_id")).where("section_id <> by").select("doc_id", "section_id")
+    over = grid.groupBy("doc_id").agg(F.max("pos").alias("hi"), F.max("ordinal").alias("last"), F.max_by("char_end", "pos").alias("pb"))
+    span = lambda name, pos, char: grid.select("doc_id", F.col("pos").alias(pos), F.col("ordinal").alias(name), char)
+    tie = "struct<turn:int,place:int,name:string>"
+    front = known.join(listed, ["doc_id", "section_id"], "left_anti").join(over, "doc_id").select(
+        "doc_id", "section_id", F.lit("0").alias("parent_path"), F.lit(0).alias("lo"), "hi", F.lit(0).alias("pa"), "pb",
+        F.struct(F.lit(0).alias("turn"), F.lit(0).alias("place"), F.col("section_id").alias("name")).cast(tie).alias("seq"), F.array().cast("array<string>").alias("trail"),
+    )
+    documents = grid.select("doc_id").unionByName(told.select("doc_id")).distinct()
+    roots = documents.join(over, "doc_id", "left").select(
+        "doc_id", F.lit("0").alias("node_path"), none.alias("parent_path"), F.lit("").alias("title"), F.lit("body").alias("role"), F.lit(0).alias("block_start"),
+        F.coalesce("last", F.lit(-1)).alias("block_end"), F.lit(0).alias("char_start"), F.coalesce("pb", F.lit(0)).alias("char_end"), F.lit("").alias("summary"),
+    )
+    out = roots
+    for _ in range(1, DEPTH):
+        inside = front.join(known, ["doc_id", "section_id"]).where("char_end > pa and char_start < pb").withColumn("at", F.greatest("at", "lo")).where("at <= hi")
+        family = Window.partitionBy("doc_id", "parent_path").orderBy("at")
+        placed = inside.select(
+            "*", (F.dense_rank().over(family) - 1).alias("number"), F.coalesce(F.min("at").over(family.rangeBetween(1, Window.unboundedFollowing)) - 1, "hi").alias("to"),
+            F.row_number().over(Window.partitionBy("doc_id", "parent_path", "at").orderBy(F.col("char_start") - F.col("char_end"), "seq")).alias("turn"),
+        ).withColumn("node_path", F.concat_ws(".", "parent_path", "number"))
+        level = placed.drop("pa", "pb", "char_start", "char_end").join(span("block_start", "at", "char_start"), ["doc_id", "at"]).join(span("block_end", "to", "char_end"), ["doc_id", "to"])
+        level, got = scratch.save(level, n=F.count(F.lit(1)))
+        if not got["n"]:
+            break
+        role = F.lower(F.trim("role"))
+        out = out.unionByName(level.where("turn = 1").select(
+            "doc_id", "node_path", "parent_path", F.coalesce("title", F.lit("")).alias("title"), F.when(role.isin(*ROLES), role).otherwise("body").alias("role"),
+            "block_start", "block_end", "char_start", "char_end", F.coalesce("summary", F.lit("")).alias("summary"),
+        ))
+        below = level.select(
+            "doc_id", F.col("node_path").alias("parent_path"), F.col("at").alias("lo"), F.col("to").alias("hi"), F.col("char_start").alias("pa"), F.col("char_end").alias("pb"), "turn",
+            F.array_append("trail", F.col("section_id")).alias("trail"), F.posexplode(F.array_distinct("children")).alias("place", "section_id"),
+        ).where(~F.array_contains("trail", F.col("section_id")))
+        seq = F.struct("turn", "place", F.lit("").alias("name")).cast(tie)
+        front = below.groupBy("doc_id", "section_id", "parent_path", "lo", "hi", "pa", "pb").agg(F.min(seq).alias("seq"), F.min_by("trail", seq).alias("trail"))
+    return out
 
 
 def outline(blocks: DataFrame) -> DataFrame:
@@ -277,61 +298,65 @@ def anchored(block_hash: Column, modulus: int = ANCHOR_MODULUS) -> Column:
     return F.conv(F.substring(block_hash, 1, 16), 16, 10).cast("decimal(20,0)") % modulus == 0
 
 
-def chunks(blocks: DataFrame, budget: int = BUDGET, gap: int = ANCHOR_GAP) -> DataFrame:
-    """(doc_id, section, chunk_no, block_start, block_end, char_start, char_end, tokens, chunk_hash) from blocks with section, tokens and block_hash.
+def cuts(tokens: np.ndarray, anchor: np.ndarray, budget: int, gap: int) -> list[int]:
+    """First positions of the chunks of one run, from prefix sums of its tokens.
 
-    A chunk is a run of whole blocks of one section of at most ``budget`` tokens; an
-    anchored block begins a new one once ``gap`` tokens have passed since the last
-    anchor, so packing after it does not depend on what stands before; a longer
-    block is a chunk of its own. One pass over rows sorted by document and ordinal.
+    Anchors count where ``gap`` tokens lie between them and the last that counted,
+    the first always; they are found by bisection in the sums before the anchors,
+    and the chunk after a position by bisection in the sums of the stretch up to
+    the next anchor.
     """
-    schema = "doc_id long, section int, chunk_no int, block_start int, block_end int, char_start int, char_end int, tokens int, chunk_hash string"
-    cols = ["doc_id", "section", "ordinal", "char_start", "char_end", "tokens", "block_hash", "_anchor"]
+    after = np.cumsum(tokens)
+    before = after - tokens
+    marks = np.flatnonzero(anchor)
+    fixed, i = [0], 0
+    while i < len(marks):
+        fixed.append(int(marks[i]))
+        i = max(i + 1, int(np.searchsorted(before[marks], before[marks[i]] + gap)))
+    out: list[int] = []
+    for at, end in zip(fixed, [*fixed[1:], len(tokens)]):
+        while at < end:
+            out.append(at)
+            at = max(at + 1, int(np.searchsorted(after[:end], before[at] + budget, side="right")))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc = section = None
-        held: list[tuple] = []
-        size = since = number = 0
-        out: list[tuple] = []
-
-        def close() -> None:
-            nonlocal held, size, number
-            if held:
-                digest = hashlib.sha256("\n".join(b[6] for b in held).encode()).hexdigest()
-                out.append((doc, section, number, held[0][2], held[-1][2], held[0][3], held[-1][4], size, digest))
-                number += 1
-            held, size = [], 0
 
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(len(cols)))):
-                if (row[0], row[1]) != (doc, section):
-                    close()
-                    number = number if row[0] == doc else 0
-                    doc, section, since = row[0], row[1], gap
-                if row[7] and since >= gap:
-                    close()
-                    since = 0
-                elif held and size + row[5] > budget:
-                    close()
-                held.append(row)
-                size += row[5]
-                since += row[5]
-                if size > budget:
-                    close()
-            if len(out) > 2000:
-                yield _batch(out)
-                out = []
-        close()
-        if out:
-            yield _batch(out)
-
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64(), *[pa.int32()] * 7, pa.string()]
-        names = ["doc_id", "section", "chunk_no", "block_start", "block_end", "char_start", "char_end", "tokens", "chunk_hash"]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-
-    ready = blocks.withColumn("_anchor", anchored(F.col("block_hash"))).select(F.col("doc_id").cast("long").alias("doc_id"), *cols[1:])
-    return ready.repartition("doc_id").sortWithinPartitions("doc_id", "ordinal").mapInArrow(run, schema)
+def chunks(blocks: DataFrame, budget: int = BUDGET, gap: int = ANCHOR_GAP) -> DataFrame:
+    """(doc_id, section, chunk_no, block_start, block_end, char_start, char_end, tokens, chunk_hash) from blocks with section, tokens and block_hash.
+
+    ``section`` names the deepest section that owns a block, so neighbours of one
+    owner make a run, and a parent's blocks before and between its children are
+    runs of their own. A chunk is a stretch of whole blocks of one run with at most
+    ``budget`` tokens; a longer block is a chunk of its own. An anchored block (see
+    ``anchored``) opens a chunk if ``gap`` tokens of the run lie behind the anchor
+    before it, so packing does not depend on what stands before an anchor. Null
+    tokens count as 0, null hashes as empty; blocks without document or ordinal do
+    not count, repeated ordinals once; an empty table gives an empty result.
+
+    Plan: one shuffle by document, whose blocks are bounded by its text; the runs
+    are cut by bisection in prefix sums, not row by row.
+    """
+    schema = "doc_id long, section string, chunk_no int, block_start int, block_end int, char_start int, char_end int, tokens int, chunk_hash string"
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(["ordinal", "tokens", "block_hash"]).drop_duplicates("ordinal", ignore_index=True)
+        owner, tokens = rows["section"].fillna(""), rows["tokens"].to_numpy()
+        edges = [*np.flatnonzero(np.r_[True, (owner != owner.shift())[1:]]), len(rows)]
+        begins = [a + c for a, b in zip(edges, edges[1:]) for c in cuts(tokens[a:b], rows["_anchor"].to_numpy()[a:b], budget, gap)]
+        ends = np.array([*begins[1:], len(rows)]) - 1
+        digest = [hashlib.sha256("\n".join(rows["block_hash"][a : b + 1]).encode()).hexdigest() for a, b in zip(begins, ends)]
+        first, last = rows.iloc[begins], rows.iloc[ends]
+        return pd.DataFrame({
+            "doc_id": first["doc_id"].to_numpy(), "section": first["section"].to_numpy(), "chunk_no": np.arange(len(begins)), "block_start": first["ordinal"].to_numpy(),
+            "block_end": last["ordinal"].to_numpy(), "char_start": first["char_start"].to_numpy(), "char_end": last["char_end"].to_numpy(),
+            "tokens": np.add.reduceat(tokens, begins), "chunk_hash": digest,
+        })
+
+    ready = blocks.where("doc_id is not null and ordinal is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("section").cast("string").alias("section"), F.col("ordinal").cast("int").alias("ordinal"), "char_start", "char_end",
+        F.coalesce("tokens", F.lit(0)).cast("int").alias("tokens"), F.coalesce("block_hash", F.lit("")).alias("block_hash"), F.coalesce(anchored(F.col("block_hash")), F.lit(False)).alias("_anchor"),
+    )
+    return ready.groupBy("doc_id").applyInPandas(pack, schema)
 
 
 def reuse_keys(chunk: DataFrame, header: Column, extractor: str, structurer: str) -> DataFrame:

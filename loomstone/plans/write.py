@@ -88,18 +88,21 @@ def j1_blocks(spark, d):
 
 @query()
 def j2_snapped_sections(spark, d):
-    b = table(spark, d, "blocks").select("doc_id", F.col("block_ordinal").alias("ordinal"), "char_start", "char_end").where("char_start is not null and char_end is not null")
-    s = table(spark, d, "proposed_sections").select("doc_id", clean_id(F.col("section_id")).alias("section_id"), "title", F.col("section_role").alias("role"), "char_start", "char_end", F.transform(F.coalesce("children", F.array().cast("array<string>")), clean_id).alias("children"))
-    return D.snapped_sections(b, s.where("doc_id is not null and char_start is not null and char_end is not null"))
+    b = table(spark, d, "blocks").select("doc_id", F.col("block_ordinal").alias("ordinal"), "char_start", "char_end")
+    kids = F.transform("children", clean_id)
+    s = table(spark, d, "proposed_sections").select("doc_id", clean_id(F.col("section_id")).alias("section_id"), "title", F.col("section_role").alias("role"), "char_start", "char_end", "summary", kids.alias("children"))
+    return D.snapped_sections(b, s)
 
 
-@query("""with b as (select distinct doc_id, block_ordinal as o, char_start as a from blocks), s as (select distinct doc_id, section_id, char_start as x, char_end as y from proposed_sections where char_end > char_start and children is not null)
- select b.doc_id, o as ordinal, max(x) as deepest from b join s on b.doc_id = s.doc_id and b.a >= s.x and b.a < s.y group by all""")
-def j3_owner_ranges(spark, d):
-    """The innermost proposed range that holds each block."""
-    b = table(spark, d, "blocks").select("doc_id", F.col("block_ordinal").alias("ordinal"), "char_start").distinct()
-    s = table(spark, d, "proposed_sections").where("char_end > char_start and children is not null").select("doc_id", F.col("char_start").alias("x"), F.col("char_end").alias("y"))
-    return b.join(s, "doc_id").where("char_start >= x and char_start < y").groupBy("doc_id", "ordinal").agg(F.max("x").alias("deepest"))
+@query("""with b as (select distinct doc_id, block_ordinal as o, node_path as p from blocks where node_path is not null), x as (select doc_id, o, string_split(p, '.') as s from b),
+ r as (select doc_id, array_to_string(s[1:k], '.') as path, k, min(o) as lo, max(o) as hi from (select *, unnest(range(1, len(s) + 1)) as k from x) group by all)
+ select b.doc_id, b.o as ordinal, arg_max(r.path, (r.k, r.path)) as node_path from (select distinct doc_id, o from b) b join r on b.doc_id = r.doc_id and b.o between r.lo and r.hi group by all""")
+def j3_owners(spark, d):
+    """The deepest section whose range holds each block; ranges are those of the block grid's own paths and all their ancestors."""
+    b = table(spark, d, "blocks").where("node_path is not null").select("doc_id", F.col("block_ordinal").alias("ordinal"), F.split("node_path", r"\.").alias("s")).distinct()
+    each = b.select("doc_id", "ordinal", "s", F.explode(F.sequence(F.lit(1), F.size("s"))).alias("k")).select("doc_id", "ordinal", F.array_join(F.slice("s", 1, F.col("k")), ".").alias("node_path"))
+    ranges = each.groupBy("doc_id", "node_path").agg(F.min("ordinal").alias("block_start"), F.max("ordinal").alias("block_end"))
+    return D.owners(b.select("doc_id", "ordinal").distinct(), ranges)
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
@@ -117,9 +120,25 @@ def j3_outline(spark, d):
     return _grid(spark, d).select("doc_id", "ordinal", "section")
 
 
-@query()
+# the runs of one owner, then the orbits of two jumps: from an anchor to the next that counts, and from a chunk to the next within the stretch
+_CHUNKS = """with recursive b as (select doc_id, block_ordinal as o, min((coalesce(token_count, 0), coalesce(block_hash, ''), coalesce(node_path, ''))) as m from blocks group by all),
+ g as (select doc_id, o, m[1] as t, m[2] as h, m[3] as p, lag(m[3]) over (partition by doc_id order by o) as q from b),
+ r as (select *, sum(case when q is null or p <> q then 1 else 0 end) over (partition by doc_id order by o) as run, cast(concat('0x', substr(h, 1, 16)) as ubigint) % 24 = 0 as a from g),
+ c as (select *, row_number() over w as n, (sum(t) over w) - t as bef, sum(t) over w as aft from r window w as (partition by doc_id, run order by o)),
+ f as (select doc_id, run, min(n) as n from c where a group by all union all select f.doc_id, f.run, min(y.n) from f join c x on x.doc_id = f.doc_id and x.run = f.run and x.n = f.n
+       join c y on y.doc_id = f.doc_id and y.run = f.run and y.n > f.n and y.a and y.bef >= x.bef + 200 group by all),
+ s as (select c.*, coalesce((select max(f.n) from f where f.doc_id = c.doc_id and f.run = c.run and f.n <= c.n), 1) as seg from c),
+ k as (select doc_id, run, seg, min(n) as n from s group by all union all select k.doc_id, k.run, k.seg, min(y.n) from k join s x on x.doc_id = k.doc_id and x.run = k.run and x.n = k.n
+       join s y on y.doc_id = k.doc_id and y.run = k.run and y.seg = k.seg and y.n > k.n and y.aft > x.bef + 400 group by all),
+ z as (select s.*, (select max(k.n) from k where k.doc_id = s.doc_id and k.run = s.run and k.n <= s.n) as cut from s)
+ select doc_id, min(o) as block_start, max(o) as block_end, cast(sum(t) as int) as tokens, sha256(string_agg(h, chr(10) order by o)) as chunk_hash from z group by doc_id, run, cut"""
+
+
+@query(_CHUNKS)
 def j4_chunks(spark, d):
-    return D.chunks(_grid(spark, d))
+    """Chunks of the runs of each owner."""
+    b = table(spark, d, "blocks").select("doc_id", F.col("block_ordinal").alias("ordinal"), F.coalesce("node_path", F.lit("")).alias("section"), "char_start", "char_end", F.col("token_count").alias("tokens"), "block_hash")
+    return D.chunks(b.distinct()).select("doc_id", "block_start", "block_end", "tokens", "chunk_hash")
 
 
 @query(_GRID + " select doc_id, o as ordinal, cast(concat('0x', substr(h, 1, 16)) as ubigint) % 24 = 0 as anchor from g")

@@ -94,33 +94,107 @@ def test_blocks_are_ordered_disjoint_and_lose_no_words(text):
     assert all(i in covered for i, c in enumerate(text) if c in "ab")
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.integers(0, 12), st.randoms(use_true_random=False))
-def test_snapped_sections_tile_their_parents(n, rng):
-    spans = [(i * 10, i * 10 + 8) for i in range(n)]
-
-    def make(depth):
-        a = rng.randrange(-5, 130)
-        return {"title": "t", "role": rng.choice(["body", "odd", None]), "char_start": a, "char_end": a + rng.randrange(-10, 90), "children": [make(depth + 1) for _ in range(rng.randrange(3) if depth < 3 else 0)]}
-
-    out = D.snap(spans, [make(0) for _ in range(rng.randrange(5))])
-    assert out[0][:2] == ("0", None) and out[0][4:] == (0, n - 1)
-    by = {r[0]: r for r in out}
-    for path, parent, _, role, a, b in out[1:]:
-        assert by[parent][4] <= a <= b <= by[parent][5] and role in D.ROLES
-    for path in by:
-        kids = sorted((r[4], r[5]) for r in out if r[1] == path)
-        assert all(x[1] + 1 == y[0] for x, y in zip(kids, kids[1:])) and (not kids or kids[-1][1] == by[path][5])
+SECTION = "doc_id long, section_id string, title string, role string, char_start int, char_end int, summary string, children array<string>"
+
+
+def snapped(spark, blocks, proposed):
+    b = spark.createDataFrame(blocks, "doc_id long, ordinal int, char_start int, char_end int")
+    return {(r.doc_id, r.node_path): r for r in D.snapped_sections(b, spark.createDataFrame(proposed, SECTION)).collect()}
+
+
+def test_snapped_sections_tile_their_parents(spark):
+    rng = random.Random(5)
+    blocks, proposed = [], []
+    for doc in range(60):
+        n = rng.randrange(13)
+        blocks += [(doc, i, i * 10, i * 10 + 8) for i in range(n)] * rng.choice([1, 1, 2])
+        for i in range(rng.randrange(12)):
+            a = rng.randrange(-5, 130)
+            kids = [f"s{rng.randrange(14)}" for _ in range(rng.randrange(3))]
+            proposed.append((doc, f"s{i}", "t", rng.choice(["body", " Methods", "odd", None]), a, a + rng.randrange(-10, 90), None, kids or None))
+    out = snapped(spark, blocks, proposed)
+    size = {doc: len({o for d, o, *_ in blocks if d == doc}) for doc in range(60)}
+    for (doc, path), r in out.items():
+        if path == "0":
+            assert (r.parent_path, r.block_start, r.block_end) == (None, 0, size[doc] - 1)
+        else:
+            up = out[doc, r.parent_path]
+            assert up.block_start <= r.block_start <= r.block_end <= up.block_end and r.role in ("body", "methods")
+        kids = sorted((k.block_start, k.block_end) for (d, _), k in out.items() if d == doc and k.parent_path == path)
+        assert all(x[1] + 1 == y[0] for x, y in zip(kids, kids[1:])) and (not kids or kids[-1][1] == r.block_end)
+    assert len(out) > 100 and max(p.count(".") for _, p in out) > 2
+
+
+def test_siblings_on_one_block_leave_their_children_to_the_longest(spark):
+    blocks = [(1, i, i * 100, i * 100 + 99) for i in range(10)]
+    tree = [
+        (1, "a", "Short", "body", 3, 40, None, ["adopted"]), (1, "b", "Long", " Methods", 1, 1000, "how", ["kept"]),
+        (1, "kept", "Kept", "body", 200, 260, None, None), (1, "adopted", "Adopted", "body", 300, 360, None, None),
+    ]
+    out = snapped(spark, blocks, tree)
+    assert [(p, r.title, r.block_start, r.block_end) for (_, p), r in sorted(out.items())] == [("0", "", 0, 9), ("0.0", "Long", 0, 9), ("0.0.0", "Kept", 2, 2), ("0.0.1", "Adopted", 3, 9)]
+    assert out[1, "0.0"].role == "methods" and out[1, "0.0"].summary == "how" and (out[1, "0.0.0"].char_start, out[1, "0.0.0"].char_end) == (200, 299)
+
+
+def test_odd_proposals_end_at_the_root(spark):
+    blocks = [(doc, i, i * 10, i * 10 + 9) for doc in (1, 2, 3, 5) for i in range(5)]
+    chain = [(3, f"c{i:02}", f"level {i}", "body", 5, 45, None, [f"c{i + 1:02}"]) for i in range(40)]
+    rows = [
+        (1, "far", "Far", "body", 10_000, 10_100, None, None), (1, "back", "Back", "body", 30, 20, None, None), (1, "point", "Point", "body", 20, 20, None, None), (1, "open", "Open", "body", None, 5, None, None),
+        (2, "mid", "Middle", "methods", 20, 40, None, ["out", "in", "mid"]), (2, "out", "Escapee", "body", 0, 10, None, None), (2, "in", "Inner", "body", 30, 35, None, ["mid"]),
+        (4, "x", "Nothing", "body", 0, 9, None, None), (None, "y", "No document", "body", 0, 9, None, None), (5, None, "No id", "body", 0, 9, None, None), *chain,
+    ]
+    out = snapped(spark, blocks, rows)
+    assert [p for d, p in sorted(out) if d == 1] == ["0"] and out[4, "0"].block_end == -1 and [p for d, p in sorted(out) if d == 5] == ["0"]
+    assert {(p, r.title) for (d, p), r in out.items() if d == 2} == {("0", "")}  # the listed ones loop, so none is a root
+    assert max(p.count(".") for d, p in out if d == 3) == D.DEPTH - 1
+    straight = [r if r[1] != "in" else (*r[:7], None) for r in rows]
+    out = snapped(spark, blocks, straight)
+    assert {(p, r.title) for (d, p), r in out.items() if d == 2} == {("0", ""), ("0.0", "Middle"), ("0.0.0", "Inner")}
+    assert snapped(spark, [], []) == {}
+
+
+BLOCK = "doc_id long, ordinal int, section int, char_start int, char_end int, tokens int, block_hash string"
 
 
 def test_chunks_keep_sections_and_anchors(spark):
     rows = [(1, i, 0 if i < 30 else 30, i * 10, i * 10 + 9, 60 if i != 11 else 900, ("0" * 16 if i == 20 else "f" * 15 + "1") + "x") for i in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, ordinal int, section int, char_start int, char_end int, tokens int, block_hash string")
-    got = D.chunks(df).orderBy("chunk_no").collect()
+    got = D.chunks(spark.createDataFrame(rows + rows[:3], BLOCK)).orderBy("chunk_no").collect()
     assert [r.chunk_no for r in got] == list(range(len(got)))
     assert [b for r in got for b in range(r.block_start, r.block_end + 1)] == list(range(40))
     assert all(r.tokens <= 400 for r in got if (r.block_start, r.block_end) != (11, 11)) and any((r.block_start, r.block_end) == (11, 11) for r in got)
     assert {20, 30} <= {r.block_start for r in got}
+    assert D.chunks(spark.createDataFrame([], BLOCK)).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.booleans()), min_size=1, max_size=40), st.integers(0, 12))
+def test_cuts_fill_the_budget_and_begin_at_anchors(blocks, gap):
+    tokens, anchor = np.array([t for t, _ in blocks]), np.array([a for _, a in blocks])
+    begins = D.cuts(tokens, anchor, 10, gap)
+    ends = [*begins[1:], len(blocks)]
+    marks, last = set(), None
+    for i in np.flatnonzero(anchor):  # tokens since the last anchor that counted
+        if last is None or tokens[last:i].sum() >= gap:
+            marks.add(int(i))
+            last = i
+    assert begins[0] == 0 and marks <= set(begins) and sorted(set(begins)) == begins
+    for a, b in zip(begins, ends):
+        assert b - a == 1 or tokens[a:b].sum() <= 10
+        assert b in marks or b == len(blocks) or tokens[a : b + 1].sum() > 10
+
+
+def test_an_edit_moves_chunks_only_up_to_the_next_anchor(spark):
+    make = lambda head: [(1, i, 0, i * 10, i * 10 + 9, head if i == 0 else 9, f"{24 * i if i in (12, 25) else 24 * i + 1:016x}") for i in range(40)]
+    first, second = ({(r.block_start, r.chunk_hash) for r in D.chunks(spark.createDataFrame(make(h), BLOCK), budget=25, gap=0).collect()} for h in (3, 20))
+    assert first != second and {x for x in first if x[0] >= 12} == {x for x in second if x[0] >= 12} and {12, 25} <= {a for a, _ in first}
+
+
+def test_parents_keep_the_blocks_between_their_children(spark):
+    owner = [0, 0, 0, 1, 1, 0, 0, 2, 2]
+    rows = [(1, i, owner[i], i * 10, i * 10 + 9, 5, "f") for i in range(9)]
+    got = D.chunks(spark.createDataFrame(rows, BLOCK)).orderBy("chunk_no").collect()
+    assert [(r.section, r.block_start, r.block_end) for r in got] == [("0", 0, 2), ("1", 3, 4), ("0", 5, 6), ("2", 7, 8)]
 
 
 def test_owner_is_the_deepest_section(spark):
