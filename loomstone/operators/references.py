@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from loomstone.operators.skew import HEAVY_FLOOR, HEAVY_PARTS
+from loomstone.runtime import Scratch
 
 
 def target_state(targets: DataFrame, key: str, arrived: str, deleted: str | None = None) -> DataFrame:
@@ -15,7 +16,7 @@ def target_state(targets: DataFrame, key: str, arrived: str, deleted: str | None
     )
 
 
-def orphans(refs: DataFrame, targets: dict[str, DataFrame], rows: int | None = None) -> DataFrame:
+def orphans(refs: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     """The rows of ``refs`` (field, key, at, ...) whose key is orphaned, with ``orphan_state``.
 
     ``targets[field]`` is the result of :func:`target_state`. State ``missing``:
@@ -26,10 +27,11 @@ def orphans(refs: DataFrame, targets: dict[str, DataFrame], rows: int | None = N
     references are kept, whatever their names but target_live and target_first.
 
     Plan: references are pre-aggregated per (field, key) with map-side partial
-    sums, so the anti-join against the targets sees each key once however many
-    references it has. Keys found in order are dropped there. The orphaned keys
-    return to the references in two parts: heavy keys (at most ``HEAVY_PARTS``
-    by pigeonhole) by broadcast, the others through the shuffle.
+    sums, so the targets see each key once however many references it has. The
+    judged keys are written once. Heavy ones (at most ``HEAVY_PARTS`` by
+    pigeonhole), orphaned or not, leave the references by broadcast and are
+    answered there; only the references of other keys are shuffled to the
+    orphaned ones, and the union of both is the result.
     """
     refs = refs.where(F.col("key").isNotNull()).withColumn("key", F.col("key").cast("string"))
     per_key = refs.groupBy("field", "key").agg(F.count(F.lit(1)).alias("_n"), F.min("at").alias("_first"))
@@ -37,24 +39,28 @@ def orphans(refs: DataFrame, targets: dict[str, DataFrame], rows: int | None = N
     for field, df in targets.items():
         tagged = df.select(F.lit(field).alias("field"), "key", "target_live", "target_first")
         known = tagged if known is None else known.unionByName(tagged)
-    judged = per_key.join(known, ["field", "key"], "left")
-    bad = judged.where(F.col("target_live").isNull() | (F.col("target_live") == 0) | (F.col("target_first") > F.col("_first"))).select("field", "key", "_n", "target_live", "target_first")
-    rows = refs.count() if rows is None else rows
+    judged, seen = Scratch(refs.sparkSession, "references").save(per_key.join(known, ["field", "key"], "left"), rows=F.sum("_n"))
+    suspect = F.col("target_live").isNull() | (F.col("target_live") == 0) | (F.col("target_first") > F.col("_first"))
     state = (
         F.when(F.col("target_live").isNull(), F.lit("missing")).when(F.col("target_live") == 0, F.lit("deleted")).when(F.col("target_first") > F.col("at"), F.lit("late"))
     )
+    parts = [part.join(keys, ["field", "key"]) for part, keys in split(refs, judged, suspect, seen["rows"] or 0)]
+    hit = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return hit.withColumn("orphan_state", state).where(F.col("orphan_state").isNotNull()).drop("target_live", "target_first")
+
+
+def split(refs: DataFrame, judged: DataFrame, suspect, rows: int) -> list[tuple[DataFrame, DataFrame]]:
+    """(references, their suspect keys) of the heavy keys, by broadcast, and of the others."""
+    bad = judged.where(suspect).select("field", "key", "target_live", "target_first", "_n")
     limit = max(HEAVY_FLOOR, rows // HEAVY_PARTS)
-    on = ["field", "key"]
     if rows <= HEAVY_FLOOR:
-        hit = refs.join(bad.drop("_n"), on)
-    else:
-        heavy = F.broadcast(bad.where(F.col("_n") > limit).drop("_n"))
-        head = refs.join(heavy, on)
-        tail = refs.join(bad.where(F.col("_n") <= limit).drop("_n"), on)
-        hit = head.unionByName(tail)
-    return hit.withColumn("orphan_state", state).where(F.col("orphan_state").isNotNull()).drop("target_live", "target_first")
+        return [(refs, bad.drop("_n"))]
+    heavy = F.broadcast(judged.where(F.col("_n") > limit).select("field", "key"))
+    on = ["field", "key"]
+    return [(refs, F.broadcast(bad.where(F.col("_n") > limit).drop("_n"))), (refs.join(heavy, on, "left_anti"), bad.where(F.col("_n") <= limit).drop("_n"))]
 
 
 def report(found: DataFrame, period: str) -> DataFrame:
-    """Orphan counts per target field, period and state."""
-    return found.groupBy("field", period, "orphan_state").agg(F.count(F.lit(1)).alias("references"), F.count_distinct("key").alias("keys"))
+    """Orphan counts per target field, period and state, pre-aggregated per key and period."""
+    per_key = found.groupBy("field", period, "orphan_state", "key").agg(F.count(F.lit(1)).alias("n"))
+    return per_key.groupBy("field", period, "orphan_state").agg(F.sum("n").alias("references"), F.count(F.lit(1)).alias("keys"))

@@ -134,3 +134,18 @@ def test_heavy_keys_take_the_broadcast_way_with_the_same_result(spark, monkeypat
     refs = left.select(F.lit("doc").alias("field"), F.col("k").alias("key"), F.lit(T0).alias("at"), "id")
     none = references.target_state(spark.createDataFrame([], "doc string, came timestamp"), "doc", "came")
     assert references.orphans(refs, {"doc": none}).count() == 3000
+
+
+def test_hot_references_never_reach_the_shuffle(spark, monkeypatch):
+    """60 % of the references on an orphaned and on a valid key each: the shuffled side holds neither, so no task gets much more than another."""
+    monkeypatch.setattr(references, "HEAVY_FLOOR", 10)
+    hot = F.when(F.col("id") % 10 < 3, "gone").when(F.col("id") % 10 < 6, "there").otherwise(F.concat(F.lit("k"), F.col("id") % 1000))
+    refs = spark.range(20_000).select(F.lit("doc").alias("field"), hot.alias("key"), F.lit(T0).alias("at"), "id")
+    there = references.target_state(spark.createDataFrame([("there", T0), ("k6", T0)], "doc string, came timestamp"), "doc", "came")
+    judged = refs.groupBy("field", "key").agg(F.count(F.lit(1)).alias("_n"), F.min("at").alias("_first")).join(there.withColumn("field", F.lit("doc")), ["field", "key"], "left")
+    (head, heavy), (tail, _) = references.split(refs, judged, F.col("target_live").isNull(), 20_000)
+    assert head.count() == 20_000 and {r.key for r in heavy.collect()} == {"gone"}
+    sizes = sorted(r.n for r in tail.repartition(8, "key").groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect())
+    assert tail.where(F.col("key").isin("gone", "there")).count() == 0 and sum(sizes) == 8000 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    got = references.orphans(refs, {"doc": there})
+    assert got.count() == refs.where("key not in ('there', 'k6')").count() and {r.orphan_state for r in got.select("orphan_state").distinct().collect()} == {"missing"}
