@@ -188,21 +188,23 @@ def communities(edges: DataFrame, levels: int = 4, sweeps: int = 4) -> DataFrame
     member, _ = scratch.save(links.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id")))
     for level in range(levels):
         strength = links.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k"))
-        home, _ = scratch.save(strength.withColumn("c", F.col("id")))
+        home, got = scratch.save(strength.withColumn("c", F.col("id")), n=F.count(F.lit(1)))
+        nodes = got["n"]
         moved_level, still = 0, 0
         for sweep in range(sweeps * 2):
             heavy = home.groupBy("c").agg(F.sum("k").alias("tot"))
             to = links.where("a <> b").join(home.select(F.col("id").alias("b"), F.col("c").alias("to")), "b").groupBy(F.col("a").alias("id"), "to").agg(F.sum("w").alias("into"))
-            cand = to.join(home.select("id", "c", "k"), "id").join(heavy.select(F.col("c").alias("to"), "tot"), "to")
+            to, seen = scratch.save(to, n=F.count(F.lit(1)))
+            cand = lookup(to.join(home.select("id", "c", "k"), "id"), "to", heavy.select(F.col("c").alias("to"), "tot"), seen["n"])
             others = F.col("tot") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
             gain = F.round(F.col("into") - F.col("k") * others / total, 9)
             best = cand.withColumn("gain", gain).groupBy("id").agg(
-                F.max_by("to", F.struct("gain", F.col("to") == F.col("c"), F.reverse("to"))).alias("to"), F.max("gain").alias("gain"), F.max(F.when(F.col("to") == F.col("c"), F.col("gain"))).alias("stay")
+                F.min_by("to", F.struct(-F.col("gain"), F.col("to") != F.col("c"), F.col("to"))).alias("to"), F.max("gain").alias("gain"), F.max(F.when(F.col("to") == F.col("c"), F.col("gain"))).alias("stay")
             )
             turn = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(2)) == sweep % 2
             go = turn & (F.col("gain") > F.coalesce("stay", F.lit(0.0))) & (F.col("to") != F.col("c"))
             fresh, got = scratch.save(home.join(best, "id", "left").select("id", "k", F.when(go, F.col("to")).otherwise(F.col("c")).alias("c"), F.coalesce(go, F.lit(False)).cast("long").alias("m")), moved=F.sum("m"))
-            scratch.drop(home)
+            scratch.drop(home, to)
             path_ = fresh._scratch_path
             home = fresh.select("id", "k", "c")
             home._scratch_path = path_
@@ -212,8 +214,8 @@ def communities(edges: DataFrame, levels: int = 4, sweeps: int = 4) -> DataFrame
                 break
         if not moved_level:
             break
-        renamed = home.select("id", F.min("id").over(Window.partitionBy("c")).alias("name"))
-        renamed, _ = scratch.save(renamed)
+        name = home.groupBy("c").agg(F.min("id").alias("name"))
+        renamed, _ = scratch.save(lookup(home.select("id", "c"), "c", name, nodes).select("id", "name"))
         member, _ = scratch.save(member.join(renamed.select(F.col("id").alias("community"), "name"), "community").select("id", F.col("name").alias("community")))
         end = lambda e: renamed.select(F.col("id").alias(e), F.col("name").alias(f"{e}2"))
         fresh, _ = scratch.save(links.join(end("a"), "a").join(end("b"), "b").groupBy(F.col("a2").alias("a"), F.col("b2").alias("b")).agg(F.sum("w").alias("w")))

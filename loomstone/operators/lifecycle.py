@@ -32,8 +32,10 @@ def cache_audit(claims: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def apply_transitions(claims: DataFrame, events: DataFrame, transitions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(claims with their new mark, ledger with the new events); known events change nothing, the last transition of a claim owns its mark."""
-    new = transitions.dropDuplicates(["event_id"]).join(events.select("event_id"), "event_id", "left_anti")
+    """(claims with their new mark, ledger with the new events); known events change nothing, of one event's transitions the first by seq counts, and the last event of a claim owns its mark."""
+    row = F.struct(*transitions.columns)
+    once = transitions.groupBy("event_id").agg(F.min_by(row, F.struct("seq", F.to_json(row))).alias("_t")).select("_t.*")
+    new = once.join(events.select("event_id"), "event_id", "left_anti")
     last = new.groupBy("claim_id").agg(F.max_by("became_current", F.struct("seq", "event_id")).alias("_now"))
     marked = claims.join(last, "claim_id", "left").withColumn("is_current", F.coalesce("_now", "is_current")).drop("_now")
     return marked, events.unionByName(new.select(*events.columns))

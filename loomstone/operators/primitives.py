@@ -178,12 +178,18 @@ def aggregate(form: str, relations: DataFrame, observations: DataFrame | None =
 
 
 def co_members(facts: DataFrame, relations: DataFrame, cap: int = CO_MEMBERS) -> DataFrame:
-    """(relation_id, other_id, co_total) for facts in a contradiction group: the first ``cap`` believed others by id, and how many there are."""
-    group = relations.where(t.believed() & F.col("contradiction_group").isNotNull()).select("contradiction_group", F.col("relation_id").alias("other_id"))
-    others = facts.select("relation_id", "contradiction_group").join(group, "contradiction_group").where("relation_id <> other_id")
-    by = Window.partitionBy("relation_id")
-    ranked = others.withColumn("_r", F.row_number().over(by.orderBy("other_id"))).withColumn("co_total", F.count(F.lit(1)).over(by))
-    return ranked.where(F.col("_r") <= cap).select("relation_id", "other_id", F.col("co_total").cast("long").alias("co_total"))
+    """(relation_id, other_id, co_total) for facts in a contradiction group: the first ``cap`` believed others by id, and how many there are.
+
+    Each group is ranked once; its first ``cap`` + 1 members, one more than are
+    shown in case the fact is among them, are all that meets its facts.
+    """
+    group = relations.where(t.believed() & F.col("contradiction_group").isNotNull()).select("contradiction_group", "relation_id").distinct()
+    ranked = group.withColumn("_r", F.row_number().over(Window.partitionBy("contradiction_group").orderBy("relation_id"))).where(F.col("_r") <= cap + 1)
+    first = ranked.groupBy("contradiction_group").agg(F.sort_array(F.collect_list("relation_id")).alias("_ids"))  # cap + 1 ids
+    size = group.groupBy("contradiction_group").agg(F.count(F.lit(1)).alias("_n"))
+    mine = facts.select("relation_id", "contradiction_group").join(group.withColumn("_in", F.lit(1)), ["relation_id", "contradiction_group"], "left")
+    shown = mine.join(first.join(size, "contradiction_group"), "contradiction_group").withColumn("_ids", F.slice(F.array_remove("_ids", F.col("relation_id")), 1, cap))
+    return shown.select("relation_id", F.explode("_ids").alias("other_id"), (F.col("_n") - F.coalesce("_in", F.lit(0))).cast("long").alias("co_total"))
 
 
 def withdrawn(facts: DataFrame, reviews: DataFrame, key: str) -> DataFrame:

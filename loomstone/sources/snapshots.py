@@ -31,9 +31,10 @@ def _write(spark: SparkSession, path: str, value: dict) -> None:
 
 
 def digest(df: DataFrame) -> dict:
-    """Rows and an order-free checksum of a table, computed where the rows are."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("x")).first()
-    return {"rows": row["n"], "checksum": row["x"] or 0}
+    """Rows and an order-free checksum of a table, computed where the rows are; the sum beside the exclusive or tells repeated rows apart."""
+    each = F.xxhash64(*df.columns)
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(each).alias("x"), F.sum(each.cast("decimal(20,0)")).alias("s")).first()
+    return {"rows": row["n"], "checksum": row["x"] or 0, "sum": str(row["s"] or 0)}
 
 
 def publish(spark: SparkSession, root: str, version: str, built_at: str, tables: dict[str, DataFrame]) -> bool:
