@@ -8,6 +8,7 @@ import time
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from loomstone.operators import skew
 from loomstone.llm import blocks as B, bpe, components, leaks, names, packing, residue, splitting
 
 # --- components -----------------------------------------------------------------------------------------------------
@@ -40,6 +41,7 @@ def test_components_match_union_find(spark, monkeypatch, shape):
         rng.shuffle(edges)
     elif shape == "star":
         monkeypatch.setattr(components, "HEAVY_FLOOR", 20)
+        monkeypatch.setattr(skew, "HEAVY_FLOOR", 20)
         edges = [("m", f"{i:03}") for i in range(300)] + [("000", "zz"), ("q", "r")]
     else:
         edges = [(None, "a"), ("a", None), ("a", "a"), ("b", "c"), ("c", "b"), ("b", "c"), ("", "x"), (None, None)]
@@ -47,6 +49,41 @@ def test_components_match_union_find(spark, monkeypatch, shape):
     assert {r.id: r.group_id for r in components.group(df).collect()} == brute_groups(edges)
 
 
+def _largest_reads(spark, job):
+    """(records read from shuffles by all tasks, median, largest) of each stage of four tasks or more that a job runs."""
+    store = spark._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    before = {s.stageId() for s in _items(stages())}
+    job()
+    out = []
+    for s in _items(stages()):
+        if s.stageId() in before or s.numTasks() < 4:
+            continue
+        reads = sorted(t.taskMetrics().get().shuffleReadMetrics().recordsRead() for t in _items(store.taskList(s.stageId(), s.attemptId(), 10_000)) if t.taskMetrics().isDefined())
+        if reads:
+            out.append((sum(reads), reads[len(reads) // 2], reads[-1]))
+    return out
+
+
+def _items(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def test_members_of_one_giant_root_are_spread(spark, monkeypatch):
+    """40 000 ids around one root: no task of a large stage reads more than twice the median."""
+    monkeypatch.setattr(components, "HEAVY_FLOOR", 1000)
+    monkeypatch.setattr(skew, "HEAVY_FLOOR", 1000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(40_000).selectExpr("'m' as a", "concat(case when id % 2 = 0 then 'a' else 'z' end, id) as b")
+        reads = _largest_reads(spark, lambda: components.group(df).write.format("noop").mode("overwrite").save())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    large = [(m, top) for n, m, top in reads if n >= 20_000]
+    assert large and all(top <= 2 * m for m, top in large), large
+    assert components.group(df).select("group_id").distinct().count() == 1
+
+
 def test_components_of_nothing_and_stars(spark):
     assert components.group(spark.createDataFrame([], "a string, b string")).count() == 0
     groups = spark.createDataFrame([(["b", "a", None, "b"],), ([],), (None,), (["c"],)], "ids array<string>")
