@@ -73,12 +73,15 @@ def test_members_of_one_giant_root_are_spread(spark, monkeypatch):
     """40 000 ids around one root: no task of a large stage reads more than twice the median."""
     monkeypatch.setattr(components, "HEAVY_FLOOR", 1000)
     monkeypatch.setattr(skew, "HEAVY_FLOOR", 1000)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    as_on_large_data = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for name, value in as_on_large_data.items():
+        spark.conf.set(name, value)
     try:
         df = spark.range(40_000).selectExpr("'m' as a", "concat(case when id % 2 = 0 then 'a' else 'z' end, id) as b")
         reads = _largest_reads(spark, lambda: components.group(df).write.format("noop").mode("overwrite").save())
     finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        for name in as_on_large_data:
+            spark.conf.unset(name)
     large = [(m, top) for n, m, top in reads if n >= 20_000]
     assert large and all(top <= 2 * m for m, top in large), large
     assert components.group(df).select("group_id").distinct().count() == 1
