@@ -1,5 +1,6 @@
 """Training-data operators against brute force, round trips and published tokenizers."""
 
+import importlib
 import itertools
 import random
 import re
@@ -314,24 +315,61 @@ CONTENT = [
 ]
 
 
+def kinds(text):
+    return {kind for _, kind, sure in residue.messages(text) if sure}
+
+
 @pytest.mark.parametrize("text", RESIDUE)
 def test_residue_is_found(text):
-    assert any(kind for _, kind in residue.messages(text)), text
+    assert kinds(text), text
 
 
 @pytest.mark.parametrize("text", CONTENT)
 def test_talk_about_residue_is_left(text):
-    assert not list(residue.messages(text)), list(residue.messages(text))
+    assert not kinds(text), list(residue.messages(text))
+
+
+@pytest.mark.parametrize("text", ["Our new product: Lorem ipsum dolor sit amet consectetur adipiscing elit", "Our new product\nLorem ipsum dolor sit amet consectetur adipiscing elit.", "Please be advised: lorem ipsum dolor sit amet, consectetur adipiscing elit"])
+def test_residue_after_other_words(text):
+    assert kinds(text) == {"filler"}
+
+
+@pytest.mark.parametrize("n", [1, 10, 100, 5000])
+def test_length_decides_nothing(n):
+    assert kinds("please enable javascript and reload the page " + "x " * n) == {"script notice"}
+    assert kinds("Please enable JavaScript in your browser settings " + "and then reload this page " * n) == {"script notice"}
+    assert kinds("We are sorry, the page could not be loaded " + "because the server is down " * n) == {"error page"}
+    assert kinds("The news of the day " * n + "lorem ipsum dolor sit amet consectetur adipiscing elit") == {"filler"}
+    assert kinds("Dear {{ " + "very " * n + "long_name }}, hello") == {"placeholder"} and kinds("Dear [" + "very " * n + "long name], hello") == {"placeholder"}
+    assert not kinds('"' + "Page not found. " * n + '" stood on the door.') and not kinds("`" + "page not found " * n + "` is printed.")
+    assert not kinds("She told the story of the page that he could not find in the library " * n)
+
+
+def flagged(lists):
+    """How many texts there are, a fence with what it holds being one, and those that hold residue."""
+    out, held = [], None
+    for line in lists:
+        if line == "```":
+            held = [line] if held is None else out.append("\n".join([*held, line]))
+        elif held is not None:
+            held.append(line)
+        else:
+            out.append(line)
+    return len(out), [t for t in out if kinds(t)]
 
 
-@pytest.mark.parametrize("text", ["Our new product: Lorem ipsum dolor sit amet consectetur adipiscing elit", "Our new product\nLorem ipsum dolor sit amet consectetur adipiscing elit.", "Sample text " + "with more words " * 30, "We are doing maintenance " + "on all of the racks " * 20])
-def test_residue_after_other_words_and_in_long_sentences(text):
-    assert any(kind for _, kind in residue.messages(text))
+@pytest.mark.parametrize("cases", ["residue_cases", "residue_heldout"])
+def test_residue_of_common_pages_and_texts_that_look_like_it(cases):
+    module = importlib.import_module(cases)
+    all_, found = flagged(module.RESIDUE)
+    others, wrong = flagged(module.LOOKALIKES)
+    assert all_ >= 200 and others >= 200
+    assert len(found) >= 0.9 * all_ and len(found) >= 0.9 * (len(found) + len(wrong)), (len(found) / all_, wrong)
 
 
 def test_long_sentences_take_linear_time():
     began = time.perf_counter()
-    for start in ("we could ", "0 0 0 0 ", "this file ", "error: error: ", "your browser "):
+    for start in ("we could ", "0 0 0 0 ", "this file ", "error: error: ", "your browser ", "{{ name ", "[your ", "[" * 50, "lorem ", "%name ", "<a b "):
         list(residue.messages(start * 20_000 + "not be available"))
     assert time.perf_counter() - began < 20
 
@@ -346,8 +384,8 @@ PHRASES = [
 
 
 @pytest.mark.parametrize("text", PHRASES)
-def test_sentences_of_the_phrase_rules_pass_the_prefilter(text):
-    assert residue._cues()(text.lower()) and [kind for _, kind in residue.messages(text) if kind], text
+def test_short_messages_of_several_languages(text):
+    assert kinds(text), text
 
 
 def test_masks_group_equal_messages():
@@ -358,8 +396,8 @@ def test_weak_messages_need_wide_recurrence(spark):
     rows = [(i, "Try again later.", f"s{i % 2}", "x") for i in range(5)] + [(9, "Zkuste to později.", "s0", "x"), (10, None, "s", "x"), (11, " ", None, "x"), (None, "404 not found", None, "x")]
     rows += [(12, "404 not found", None, "x"), (12, "404 not found", None, "x"), (13, "y" * 100_000, "s", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, kind string")
-    got = {(r.doc_id, r.kind) for r in residue.residue(df).collect()}
-    assert got == {*((i, "recurring message") for i in range(5)), (12, "error page")}
+    got = {(r.doc_id, r.kind, r.documents, r.sources) for r in residue.residue(df).collect()}
+    assert got == {*((i, "recurring message", 5, 2) for i in range(5)), (12, "error page", 2, 1)}
     assert residue.residue(df.limit(0)).count() == 0
 
 
