@@ -8,11 +8,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import blake2b
-from itertools import groupby
+from itertools import chain, groupby, islice
+from math import ceil
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from loomstone.llm import components
 from loomstone.llm.blocks import batched
@@ -21,30 +22,43 @@ from loomstone.runtime import Scratch
 #: Jaro-Winkler similarity from which two words of at least LONG letters are spellings of one, and that of words with equal phonetic codes.
 CLOSE, SOUNDS = 0.88, 0.75
 LONG = 5
+#: Share of the telling words of two profiles, of all they have, from which they agree.
+AGREE = 0.6
+#: Members above which a block is cut by their other words.
+LARGE = 500
 
 # --- fixed values ---------------------------------------------------------------------------------------------------
 #: Given names and their short and pet forms.
 NICKNAMES = {
-    "albert": "al bert bertie", "alena": "alenka lena", "alois": "lojza", "anna": "ann annie anicka nan", "anton": "toni tonda tony", "barbora": "bara barb barbara babs",
-    "beata": "bea", "benedikt": "ben benny bene", "bohdan": "bob dan", "cecilie": "cilka celia cile", "christof": "chris kit", "clara": "klara", "dagmar": "dasa",
-    "daniel": "dan danny", "david": "dave", "dominik": "dom nick", "edgar": "ed eda", "edita": "edith edie", "eleanor": "ellie nell nora lea", "elias": "eli",
-    "elizabeth": "liz lizzie beth betty eliska lisa bess", "emil": "milek", "ester": "hester essie", "eva": "evicka eve", "ferdinand": "ferda ferdi", "filip": "phil philip",
-    "frances": "fran fanny frankie", "frederik": "fred freddy fritz", "gabriela": "gabi gaby", "gerhard": "gerd", "gustav": "gus gusta", "hana": "hanka", "harold": "harry hal",
-    "hedvika": "heda hedy", "helena": "leni helen lenka hela", "henrik": "henry rik", "hugo": "huey", "ignac": "nacek iggy", "ilona": "ili", "ingrid": "inga", "ivan": "vanya",
-    "jakub": "kuba jacob", "jan": "honza john johnny jenda", "jana": "janicka", "jasmin": "jas", "jeremias": "jerry", "jiri": "jirka george", "johana": "hana hanka jo",
-    "jonas": "joni", "josef": "pepa joe joseph sepp", "judita": "judy jitka", "julius": "jul jules", "kamila": "kami camilla", "karel": "kaja karlik charles",
-    "katherine": "kate kathy katie kat kitty", "klara": "klarka", "konrad": "kurt con", "kristof": "kris", "laura": "laurie lora", "leonard": "leo len lenny",
-    "leopold": "leo poldi", "lidia": "lida lydia", "ludmila": "lida mila", "lukas": "luke luki", "magdalena": "lena magda maggie", "marcel": "marc", "margaret": "maggie meg peggy marge greta",
-    "marie": "mary maruska mimi", "marta": "martha marticka", "martin": "marty", "matej": "mates matt", "matthias": "matt matti", "michael": "mike mick misa", "milan": "mila",
-    "monika": "moni", "nadja": "nada", "natalie": "talia nat nata", "nicholas": "nick nicky", "nikola": "niki", "oliver": "ollie", "ondrej": "ondra andy", "oskar": "ossi",
-    "otto": "ota", "patricia": "pat patty tricia trish", "patrik": "pat paddy", "pavel": "paul pavlik", "petr": "peter pete peta", "petra": "peti", "philipp": "phil",
-    "radek": "rada", "rebecca": "becky becca", "renata": "rena", "richard": "dick rick ricky rich", "robert": "rob bob bobby bert", "roman": "romek", "rosalie": "rosa rose",
-    "rudolf": "rudi ruda rolf", "samuel": "sam sammy", "sarah": "sally sara", "sebastian": "bast seb basti", "sigrid": "sigi", "silvie": "silva sylvia", "simon": "sim simi",
-    "sofie": "fia zofie sophie", "stanislav": "standa stan", "stephan": "steve stef stevie", "susanna": "sue susi susie zuzana", "tadeas": "tad ted", "tamara": "tami",
-    "theodor": "theo ted teddy", "theresa": "terry resi tess terezka", "thomas": "tom tommy", "tobias": "toby tobi", "ursula": "uschi ulla", "vaclav": "vasek venca", "valentin": "val",
-    "valerie": "val", "vera": "verca", "victor": "vic vick", "viktorie": "viki vicky", "vilem": "vilda", "vincent": "vince vinny", "vladimir": "vlada vova", "vojtech": "vojta",
-    "walter": "walt wally", "wanda": "vanda", "wenzel": "wenz", "william": "bill will billy willy liam", "xaver": "xav", "yvona": "ivona", "zachar": "zach", "zdenek": "zdena",
-    "zofie": "zofka", "zuzana": "zuzka",
+    "aaron": "ron ronnie", "abigail": "abby gail", "alan": "al", "albert": "al bert bertie", "alena": "alenka lena", "alexander": "alex sasha sandy xander aleks",
+    "alexandra": "alex sandra sasha", "alfred": "alf fred alfie", "alois": "lojza", "amanda": "mandy", "andrew": "andy drew", "angela": "angie", "anna": "ann annie anicka nan",
+    "anton": "toni tonda tony", "arthur": "art artie", "barbora": "bara barb barbara babs", "beata": "bea", "benedikt": "ben benny bene", "benjamin": "ben benji benny",
+    "bernard": "bernie", "bohdan": "bob dan", "bradley": "brad", "bridget": "biddy bridie", "calvin": "cal", "caroline": "carrie caro lina", "catherine": "cathy kate katie kitty cat",
+    "cecilie": "cilka celia cile", "charles": "charlie chuck chaz karel carl", "charlotte": "lottie charlie lotta", "christian": "chris", "christina": "chris tina chrissy christine",
+    "christof": "chris kit", "christopher": "chris topher kit", "clara": "klara", "clifford": "cliff", "cynthia": "cindy", "dagmar": "dasa", "daniel": "dan danny", "david": "dave",
+    "deborah": "deb debbie", "dennis": "denny", "dominik": "dom nick", "donald": "don donnie", "dorothy": "dot dottie dolly", "douglas": "doug", "edgar": "ed eda",
+    "edita": "edith edie", "edward": "ed eddie ted ned", "eleanor": "ellie nell nora lea", "elias": "eli", "elizabeth": "liz lizzie beth betty eliska lisa bess", "emil": "milek",
+    "emily": "em emmy", "ester": "hester essie", "eugene": "gene", "eva": "evicka eve", "ferdinand": "ferda ferdi", "filip": "phil philip", "frances": "fran fanny frankie",
+    "francis": "frank fran franz", "frederik": "fred freddy fritz", "gabriel": "gabe", "gabriela": "gabi gaby", "george": "georgie jorge", "gerald": "gerry jerry", "gerhard": "gerd",
+    "gregory": "greg", "gustav": "gus gusta", "hana": "hanka", "harold": "harry hal", "hedvika": "heda hedy", "helena": "leni helen lenka hela", "henrik": "henry rik",
+    "henry": "hank harry hal", "hugo": "huey", "ignac": "nacek iggy", "ilona": "ili", "ingrid": "inga", "isabella": "bella izzy", "ivan": "vanya", "jacqueline": "jackie",
+    "jakub": "kuba jacob", "james": "jim jimmy jamie", "jan": "honza john johnny jenda", "jana": "janicka", "jasmin": "jas", "jeffrey": "jeff", "jennifer": "jen jenny jenn",
+    "jeremias": "jerry", "jessica": "jess jessie", "jiri": "jirka george", "johana": "hana hanka jo", "johann": "hans johannes", "jonas": "joni", "jonathan": "jon jonny",
+    "josef": "pepa joe joseph sepp", "joseph": "joe joey", "joshua": "josh", "judita": "judy jitka", "judith": "judy", "julius": "jul jules", "kamila": "kami camilla",
+    "karel": "kaja karlik charles", "katherine": "kate kathy katie kat kitty", "kenneth": "ken kenny", "klara": "klarka", "konrad": "kurt con", "kristof": "kris",
+    "laura": "laurie lora", "lawrence": "larry lars laurence", "leonard": "leo len lenny", "leopold": "leo poldi", "lidia": "lida lydia", "louis": "lou louie", "ludmila": "lida mila",
+    "lukas": "luke luki", "magdalena": "lena magda maggie", "marcel": "marc", "margaret": "maggie meg peggy marge greta", "marie": "mary maruska mimi", "marta": "martha marticka",
+    "martin": "marty", "matej": "mates matt", "matthew": "matt matty", "matthias": "matt matti", "maximilian": "max", "michael": "mike mick misa", "milan": "mila", "monika": "moni",
+    "nadja": "nada", "natalie": "talia nat nata", "nathaniel": "nate nat nathan", "nicholas": "nick nicky", "nikola": "niki", "oliver": "ollie", "ondrej": "ondra andy", "oskar": "ossi",
+    "otto": "ota", "pamela": "pam", "patricia": "pat patty tricia trish", "patrik": "pat paddy", "pavel": "paul pavlik", "petr": "peter pete peta", "petra": "peti", "philipp": "phil",
+    "radek": "rada", "raymond": "ray", "rebecca": "becky becca", "renata": "rena", "richard": "dick rick ricky rich", "robert": "rob bob bobby bert", "roman": "romek",
+    "ronald": "ron ronnie", "rosalie": "rosa rose", "rudolf": "rudi ruda rolf", "samantha": "sam", "samuel": "sam sammy", "sarah": "sally sara", "sebastian": "bast seb basti",
+    "sigrid": "sigi", "silvie": "silva sylvia", "simon": "sim simi", "sofie": "fia zofie sophie", "stanislav": "standa stan", "stephan": "steve stef stevie", "stephen": "steve steven",
+    "susan": "sue susie", "susanna": "sue susi susie zuzana", "tadeas": "tad ted", "tamara": "tami", "terence": "terry", "theodor": "theo ted teddy",
+    "theresa": "terry resi tess terezka", "thomas": "tom tommy", "timothy": "tim timmy", "tobias": "toby tobi", "ursula": "uschi ulla", "vaclav": "vasek venca", "valentin": "val",
+    "valerie": "val", "vera": "verca", "veronica": "ronnie vera", "victor": "vic vick", "victoria": "vicky tori", "viktorie": "viki vicky", "vilem": "vilda", "vincent": "vince vinny",
+    "virginia": "ginny", "vladimir": "vlada vova", "vojtech": "vojta", "walter": "walt wally", "wanda": "vanda", "wenzel": "wenz", "wilhelm": "willi helmut",
+    "william": "bill will billy willy liam", "xaver": "xav", "yvona": "ivona", "zachar": "zach", "zdenek": "zdena", "zofie": "zofka", "zuzana": "zuzka",
 }
 TITLES = frozenset("bc csc dipl doc dr frau herr ing judr madam mgr miss mr mrs ms mudr mx pan pani paeddr phd phdr prof rndr sir".split())
 PARTICLES = frozenset("af al and av da das de del della der des di do du el et la le les of the und van vom von z za ze zu zum zur".split())
@@ -60,6 +74,7 @@ SOUNDS_ALIKE = (
     ("tsch", "k"), ("tch", "k"), ("sch", "s"), ("ch", "k"), ("cz", "k"), ("sh", "s"), ("sz", "s"), ("zh", "z"), ("rz", "r"), ("ph", "f"), ("th", "t"), ("ck", "k"),
     ("qu", "kv"), ("x", "ks"), ("c", "k"), ("q", "k"), ("w", "v"),
 )
+_LIKE = str.maketrans("cqw", "kkv")
 _SPECIAL = str.maketrans({"ß": "ss", "ł": "l", "ø": "o", "đ": "d", "æ": "ae", "œ": "oe", "þ": "th", "ı": "i"})
 _LEGAL_DOTS = re.compile(r"\b(?:spol\.? ?s ?r\.? ?o|s\. ?r\. ?o|a\. ?s|sp\. ?z ?o\. ?o|e\. ?v|b\. ?v|n\. ?v|s\. ?a)\b\.?\s*$")
 _PART = re.compile(r"([^\W\d_]+|\d+)(\.?)(-?)")
@@ -94,8 +109,8 @@ def code(word: str) -> str:
 
 
 def letters(word: str) -> str:
-    """The consonants as written, for slips that break a letter group of one sound."""
-    return "".join(c for c in word if c not in "aeiouyj")
+    """The consonants as written but for letters of one sound, for slips that break a letter group or a doubled letter."""
+    return "".join(c for c in word.translate(_LIKE) if c not in "aeiouyj")
 
 
 @dataclass(frozen=True, slots=True)
@@ -228,8 +243,8 @@ def _match(a: Word, b: Word) -> int:
     return 0
 
 
-def same(a: Name, b: Name) -> bool:
-    """Whether two names can be spellings of one name.
+def same(a: Name, b: Name, backed: bool = False) -> bool:
+    """Whether two names can be spellings of one name; ``backed`` by profiles that agree, a short word with one slip is enough beside an equal one.
 
     Every whole word of one must match a word of the other, but for one more part
     of a compound; single letters may stand for words or be left out; at least one
@@ -253,27 +268,75 @@ def same(a: Name, b: Name) -> bool:
     for w, _ in loose:
         if len(w.text) > 1 and not any(w.compound == v.compound for _, x, y in pairs for v in (x, y) if v is not w and len(v.text) > 1):
             return False
-    strong = any(m == 2 and min(len(x.text), len(y.text)) >= LONG and not (x.text in _PET or y.text in _PET) for m, x, y in pairs)
+    strong = any(m == 2 and (min(len(x.text), len(y.text)) >= LONG or x.text == y.text and len(x.text) > 2) and not (x.text in _PET or y.text in _PET) for m, x, y in pairs)
+    strong = strong or backed and len(pairs) > 1 and any(m == 2 and x.text == y.text and len(x.text) > 3 for m, x, y in pairs)
     return (strong or len(pairs) > 1 and all(m == 2 for m, _, _ in pairs)) and len(pairs) >= min(2, len(a.words), len(b.words))
 
 
-def block_keys(name: Name, profile: str) -> set[tuple[str, str]]:
-    """(block, origin): each long word's phonetic code; and the code, and the consonants as written, with one sound left out.
+def agree(p: str, q: str) -> bool:
+    """Whether two profiles, as ``profile_key`` gives them, share AGREE of their telling words; two empty ones do."""
+    return p == q or bool(p and q) and _overlap(p, q) >= AGREE
 
-    ``origin`` tells what a sound was left out of, empty for whole codes and
-    consonants, so that words of one origin are not compared in all its blocks.
-    Names without a profile have no more in their blocks: the other words may be
-    short forms, initials or misspelt from their first letter on.
+
+@lru_cache(maxsize=100_000)
+def _overlap(p: str, q: str) -> float:
+    a, b = set(p.split()), set(q.split())
+    return len(a & b) / len(a | b)
+
+
+def telling(profile: str) -> list[str]:
+    """The words of a profile of which two agreeing ones share at least one: the first ones in an order that is the same for all.
+
+    Sets that overlap by AGREE share a word among the first n - ceil(AGREE n) + 1 of each.
+    """
+    words = sorted(profile.split(), key=lambda w: (crc32(w.encode()), w))
+    return words[: len(words) - ceil(AGREE * len(words)) + 1] if words else [""]
+
+
+def _left_out(sound: str) -> Iterator[str]:
+    """A code with one sound left out, and the code itself, which others may come down to."""
+    yield from (f"{sound[:i]}{sound[i + 1 :]}~" for i in range(len(sound)))
+    yield f"{sound}~"
+
+
+def block_keys(name: Name, profile: str) -> set[tuple[str, str, int]]:
+    """(block, origin, word): the phonetic code and the consonants of each long word, whole and with one left out, beside each telling word of the profile.
+
+    ``origin`` tells what a sound was left out of, empty for whole codes, so that
+    words of one origin are not compared in all its blocks; ``word`` is the number
+    of the word. Names without a profile have no more in their blocks: the other
+    words may be short forms, initials or misspelt from their first letter on.
     """
     words = [w for w in name.words if len(w.text) > 1 and not (w.dotted and len(w.text) < LONG)]
     long = [w for w in words if len(w.text) >= LONG and w.text not in _PET] or words or list(name.words)
     keys = set()
-    for w in long:
-        sound, written = code(w.text), letters(w.text)
-        keys.add((f"{profile}|{sound}|", ""))
-        for c in {sound, written}:
-            keys.update((f"{profile}|{c[:i] + c[i + 1 :]}|~", c) for i in range(len(c)))
-            keys.add((f"{profile}|{c}|~", "" if c == written else c))
+    for i, w in enumerate(name.words):
+        if w in long:
+            both = {code(w.text), letters(w.text)}
+            for beside in telling(profile):
+                for s in both:
+                    keys.add((f"{beside}|{s}|", "", i))
+                    keys.update((f"{beside}|{c}", s, i) for c in _left_out(s))
+    return keys
+
+
+def finer_keys(name: Name, word: int) -> set[tuple[str, str]]:
+    """(part, origin): where a name stands within a large block that its ``word`` shares with too many, by all its other words.
+
+    Two names of the block that ``same`` accepts match in another word as well, if
+    both have one: by sound, with one sound left out, by a common full form, as a
+    beginning, or as an initial or abbreviation. Whole words meet initials, but not
+    each other, in the parts of initials; single letters may be left out.
+    """
+    others = [w for i, w in enumerate(name.words) if i != word]
+    keys = {("only", "")} if all(len(w.text) == 1 for w in others) else set()
+    for w in others:
+        if len(w.text) == 1 or w.dotted:
+            keys.add((f"i{w.text[0]}", ""))
+        for full in _PET.get(w.text, set()) | {w.text} if len(w.text) > 1 else ():
+            sound = code(full)
+            keys |= {(f"c{sound}", ""), (f"b{full[:3]}", ""), (f"i{full[0]}", "whole"), *((f"l{c}", sound) for c in _left_out(sound))}
+            keys |= {(f"s{c}", full) for c in _left_out(full)} if len(full) < LONG else set()
     return keys
 
 
@@ -283,70 +346,102 @@ def _digest(text: str) -> int:
 
 
 NODES = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "kind", "name", "name_key", "profile")])
-_KEYS = T.StructType([T.StructField("block", T.LongType()), T.StructField("origin", T.IntegerType()), T.StructField("node", T.StringType()), T.StructField("name", T.StringType())])
-_PAIRS = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
+_KEYS = T.StructType([
+    T.StructField("block", T.LongType()), T.StructField("origin", T.IntegerType()), T.StructField("word", T.IntegerType()), T.StructField("node", T.StringType()),
+    T.StructField("name", T.StringType()), T.StructField("profile", T.StringType()),
+])
+#: A pair of nodes, or (b null) a member of a block too large to be compared as a whole.
+_PAIRS = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), *[f for f in _KEYS if f.name not in ("node", "origin")]])
 _KIND = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.IntegerType(): pa.int32()}
 _ARROW = {k: pa.schema([(f.name, _KIND[f.dataType]) for f in s]) for k, s in (("nodes", NODES), ("keys", _KEYS), ("pairs", _PAIRS))}
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
-        for batch in batches:
-            for i, kind, name, profile in zip(*(c.to_pylist() for c in batch.columns)):
-                key = parse(name).key
-                if key:
-                    yield i, kind, name, key, profile_key(profile)
+        for i, kind, name, profile in _rows(batches):
+            key = parse(name).key
+            if key:
+                yield i, kind, name, key, profile_key(profile)
 
     yield from batched(rows(), _ARROW["nodes"])
 
 
+def _origin(text: str) -> int:
+    return crc32(text.encode()) & 0x7FFFFFFF if text else 0
+
+
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
-        for batch in batches:
-            for node, name, profile in zip(*(c.to_pylist() for c in batch.columns)):
-                for block, c in sorted(block_keys(parse(name), profile)):
-                    yield _digest(block), crc32(c.encode()) & 0x7FFFFFFF if c else 0, node, name
+        for node, name, profile in _rows(batches):
+            for block, c, word in sorted(block_keys(parse(name), profile)):
+                yield _digest(block), _origin(c), word, node, name, profile
 
     yield from batched(rows(), _ARROW["keys"])
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within a block, each name joins the clusters that hold a spelling of it; one pair a joined cluster."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of large blocks to their parts."""
 
     def rows() -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns))
+        for node, block, word, name, profile in _rows(batches):
+            for part, c in sorted(finer_keys(parse(name), word)):
+                yield _digest(f"{block}|{part}"), _origin(c), word, node, name, profile
+
+    yield from batched(rows(), _ARROW["keys"])
+
+
+def _compared(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+    """One pair for each two clusters of a block that a name ties; the members of blocks above ``most`` are handed on as they come."""
 
     def pairs() -> Iterator[tuple]:
-        for _, members in groupby(rows(), key=lambda r: r[0]):
-            own = list(members)
-            if len(own) == 1:
-                continue
-            clusters: list[list[tuple[str, int, Name]]] = []
-            for _, c, node, text in own:
-                name = parse(text)
-                joined: list[list[tuple[str, int, Name]]] = []
-                for cluster in clusters:
-                    # words of one origin meet in the block of the whole, one node meets itself nowhere
-                    other = next((n for n, k, known in cluster if n != node and not (c and c == k) and same(name, known)), None)
-                    if other is not None:
-                        joined.append(cluster)
-                        yield node, other
-                merged = [(node, c, name)]
-                for cluster in joined:
-                    clusters.remove(cluster)
-                    merged += cluster
-                clusters.append(merged)
+        for block, members in groupby(_rows(batches), key=lambda r: r[0]):
+            held = list(islice(members, most + 1 if most else None))
+            if most and len(held) > most:
+                yield from ((r[3], None, block, r[2], r[4], r[5]) for r in chain(held, members))
+            else:
+                yield from ((a, b, None, None, None, None) for a, b in _ties(held))
 
     yield from batched(pairs(), _ARROW["pairs"])
 
 
+def _ties(members: list[tuple]) -> Iterator[tuple[str, str]]:
+    """The first accepted pair of each two clusters of a block."""
+    of: list[list[int]] = []  # the cluster of each member, shared by its members
+    for i, (_, c, _, node, text, profile) in enumerate(members):
+        own = [i]
+        of.append(own)
+        for j in range(i):
+            _, k, _, other, known, beside = members[j]
+            if of[j] is own or node == other or c and c == k or not agree(profile, beside):
+                continue
+            if same(parse(text), parse(known), bool(profile)):
+                yield node, other
+                joined = of[j]
+                joined += own
+                for m in own:
+                    of[m] = joined
+                own = joined
+
+
+def _searched(keys: DataFrame, most: int | None) -> DataFrame:
+    """Pairs found in the blocks of keys; blocks without two rows to compare, of one row or of words of one origin, never leave the JVM."""
+    block = Window.partitionBy("block").orderBy("name", "node", "origin", "word").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    most_, least = F.max("origin").over(block), F.min("origin").over(block)
+    met = keys.select("*", ((least < most_) | ((least == 0) & (F.count(F.lit(1)).over(block) > 1))).alias("_met")).where("_met").drop("_met")
+    return met.mapInArrow(lambda batches: _compared(batches, most), _PAIRS)
+
+
 def link(entities: DataFrame, kinds: tuple[str, ...] = ("person", "organization")) -> DataFrame:
     """(id, group_id) of the entities that name one being, from columns (id, kind, name, profile).
 
-    Names are the same if they are spellings of each other (see ``same``) and the
-    telling words of their profiles are equal; entities with different profiles
-    are never linked. Names without a profile are linked to each other by
+    Names are of one being if they are spellings of each other (see ``same``) and
+    their profiles agree (see ``agree``); a profile that agrees backs short words
+    that differ by a slip. Names without a profile are linked to each other by
     spelling, and to the one being whose name is equal if only one is called so.
     Groups without an entity of the given kinds are left out, kinds in any letter
     case. Repeated rows count once; an id with several rows links its spellings.
@@ -355,10 +450,13 @@ def link(entities: DataFrame, kinds: tuple[str, ...] = ("person", "organization"
 
     Plan: equal (name, profile) rows collapse by a partially pre-aggregated groupBy,
     so a name held by a third of all rows is one node. Nodes are blocked by the
-    profile with the phonetic codes of their words, and with these codes and the
-    consonants as written with one left out, in one shuffle of short rows; each
-    sorted block is a stream that compares Jaro-Winkler and nicknames and gives at
-    most one pair a joined cluster. Pairs are closed by connected components.
+    phonetic codes of their words, whole and with one sound left out, beside the
+    first telling words of the profile, in one shuffle; keys that stand alone are
+    dropped before Python sees them. Each sorted block is a stream that gives at
+    most one pair a joined cluster. A block above LARGE members is not compared as a
+    whole, which would be quadratic, but cut by the codes of the members' other
+    words in a second shuffle. Pairs are closed by connected components; names
+    without profile then tie whole groups, which are closed over their labels only.
     """
     scratch = Scratch(entities.sparkSession, "names")
     known = entities.where(F.col("id").isNotNull() & F.col("name").isNotNull()).select("id", F.lower("kind").alias("kind"), "name", "profile").distinct()
@@ -366,16 +464,21 @@ def link(entities: DataFrame, kinds: tuple[str, ...] = ("person", "organization"
     each = nodes.groupBy("name_key", "profile").agg(F.min("id").alias("node"), F.min("name").alias("name"))
     each, _ = scratch.save(each)
     keys = each.select("node", "name", "profile").mapInArrow(_blocked, _KEYS)
-    found, _ = scratch.save(keys.repartition("block").sortWithinPartitions("block", "name", "node", "origin").mapInArrow(_compared, _PAIRS))
+    found, seen = scratch.save(_searched(keys, LARGE), large=F.count("block"))
+    pairs_ = found.where("b is not null").select("a", "b")
+    if seen["large"]:
+        large = found.where("b is null").select(F.col("a").alias("node"), "block", "word", "name", "profile")
+        pairs_ = pairs_.unionByName(_searched(large.mapInArrow(_cut, _KEYS), None).select("a", "b"))
     # ids of one node, the spellings of one id, and the accepted pairs
     own = nodes.join(each.select("name_key", "profile", "node"), ["name_key", "profile"]).select(F.col("id").alias("a"), F.col("node").alias("b"))
-    ties, _ = scratch.save(own.unionByName(found))
-    groups, _ = scratch.save(components.group(ties))
+    groups, _ = scratch.save(components.group(own.unionByName(pairs_)))
     # a name without profile belongs to the being called exactly so, if there is one only
     being = each.join(groups.select(F.col("id").alias("node"), "group_id"), "node", "left").select("name_key", "profile", "node", F.coalesce("group_id", "node").alias("being"))
     called = being.where("profile <> ''").groupBy("name_key").agg(F.min("being").alias("low"), F.max("being").alias("high")).where("low = high")
-    more = being.where("profile = ''").join(called, "name_key").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    closed = components.group(ties.unionByName(more))
+    more, _ = scratch.save(being.where("profile = ''").join(called, "name_key").select(F.col("being").alias("a"), F.col("low").alias("b")).where("a <> b"))
+    onward = components.group(more).select(F.col("id").alias("group_id"), F.col("group_id").alias("_whole"))
+    lone = more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(groups.select("id"), "id", "left_anti").select("id", F.col("id").alias("group_id"))
+    closed = groups.unionByName(lone).join(onward, "group_id", "left").select("id", F.coalesce("_whole", "group_id").alias("group_id"))
     wanted = nodes.where(F.col("kind").isin(*kinds)).select("id").distinct()
     named = closed.join(wanted, "id", "left_semi").select("group_id").distinct()
     return closed.join(named, "group_id", "left_semi").select("id", "group_id")
