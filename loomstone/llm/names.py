@@ -9,7 +9,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import blake2b
 from itertools import chain, groupby, islice
-from math import ceil
 from zlib import crc32
 
 import pyarrow as pa
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from loomstone.llm import components
 from loomstone.llm.blocks import batched
+from loomstone.operators.skew import lookup
 from loomstone.runtime import Scratch
 
 #: Jaro-Winkler similarity from which two words of at least LONG letters are spellings of one, and that of words with equal phonetic codes.
@@ -274,23 +274,32 @@ def same(a: Name, b: Name, backed: bool = False) -> bool:
 
 
 def agree(p: str, q: str) -> bool:
-    """Whether two profiles, as ``profile_key`` gives them, share AGREE of their telling words; two empty ones do."""
-    return p == q or bool(p and q) and _overlap(p, q) >= AGREE
+    """Whether two profiles, as ``profile_key`` gives them, are equal but for at most one telling word of each, and share AGREE of all they have."""
+    return p == q or bool(p and q) and _near(p, q)
 
 
 @lru_cache(maxsize=100_000)
-def _overlap(p: str, q: str) -> float:
+def _near(p: str, q: str) -> bool:
     a, b = set(p.split()), set(q.split())
-    return len(a & b) / len(a | b)
+    return len(a - b) <= 1 and len(b - a) <= 1 and len(a & b) >= AGREE * len(a | b)
 
 
-def telling(profile: str) -> list[str]:
-    """The words of a profile of which two agreeing ones share at least one: the first ones in an order that is the same for all.
+def profile_forms(profiles: DataFrame) -> DataFrame:
+    """(profile, besides): for each distinct profile the numbers of its word set, whole and with one word left out, under which agreeing profiles meet.
 
-    Sets that overlap by AGREE share a word among the first n - ceil(AGREE n) + 1 of each.
+    The whole set always stands; a set with a word left out only if another profile
+    has it too, and is it as a whole or has at least four words itself. A number is
+    the exclusive or of the words' hashes, so it takes one step a word.
     """
-    words = sorted(profile.split(), key=lambda w: (crc32(w.encode()), w))
-    return words[: len(words) - ceil(AGREE * len(words)) + 1] if words else [""]
+    each = profiles.select("profile").distinct().withColumn("h", F.transform(F.filter(F.split("profile", " "), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    each = each.withColumn("all", F.aggregate("h", F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))).withColumn("n", F.size("h"))
+    less = F.when(F.col("n") >= 3, F.transform("h", lambda x: F.struct(F.col("all").bitwiseXOR(x).alias("form"), F.lit(False).alias("whole")))).otherwise(F.array().cast("array<struct<form:bigint,whole:boolean>>"))
+    forms = each.select("profile", "n", F.inline(F.concat(F.array(F.struct(F.col("all").alias("form"), F.lit(True).alias("whole"))), less)))
+    forms, seen = Scratch(profiles.sparkSession, "forms").save(forms, rows=F.count(F.lit(1)))
+    # partial sums before the shuffle: a form of very many profiles is one row a task
+    met = forms.groupBy("form").agg(F.count(F.lit(1)).alias("k"), F.bool_or("whole").alias("any"), F.max("n").alias("most")).where("k > 1 and (any or most > 3)").select("form", F.lit(True).alias("met"))
+    kept = lookup(forms, "form", met, seen["rows"] or 0, "left").where("whole or met")
+    return kept.groupBy("profile").agg(F.collect_set("form").alias("besides"))  # at most one more than the profile has words
 
 
 def _left_out(sound: str) -> Iterator[str]:
@@ -299,8 +308,8 @@ def _left_out(sound: str) -> Iterator[str]:
     yield f"{sound}~"
 
 
-def block_keys(name: Name, profile: str) -> set[tuple[str, str, int]]:
-    """(block, origin, word): the phonetic code and the consonants of each long word, whole and with one left out, beside each telling word of the profile.
+def block_keys(name: Name, besides: list) -> set[tuple[str, str, int]]:
+    """(block, origin, word): the phonetic code and the consonants of each long word, whole and with one left out, beside each form of the profile.
 
     ``origin`` tells what a sound was left out of, empty for whole codes, so that
     words of one origin are not compared in all its blocks; ``word`` is the number
@@ -313,7 +322,7 @@ def block_keys(name: Name, profile: str) -> set[tuple[str, str, int]]:
     for i, w in enumerate(name.words):
         if w in long:
             both = {code(w.text), letters(w.text)}
-            for beside in telling(profile):
+            for beside in besides:
                 for s in both:
                     keys.add((f"{beside}|{s}|", "", i))
                     keys.update((f"{beside}|{c}", s, i) for c in _left_out(s))
@@ -377,8 +386,8 @@ def _origin(text: str) -> int:
 
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
-        for node, name, profile in _rows(batches):
-            for block, c, word in sorted(block_keys(parse(name), profile)):
+        for node, name, profile, besides in _rows(batches):
+            for block, c, word in sorted(block_keys(parse(name), besides)):
                 yield _digest(block), _origin(c), word, node, name, profile
 
     yield from batched(rows(), _ARROW["keys"])
@@ -451,8 +460,8 @@ def link(entities: DataFrame, kinds: tuple[str, ...] = ("person", "organization"
     Plan: equal (name, profile) rows collapse by a partially pre-aggregated groupBy,
     so a name held by a third of all rows is one node. Nodes are blocked by the
     phonetic codes of their words, whole and with one sound left out, beside the
-    first telling words of the profile, in one shuffle; keys that stand alone are
-    dropped before Python sees them. Each sorted block is a stream that gives at
+    forms of the profile that another one has, in one shuffle; keys that stand alone
+    are dropped before Python sees them. Each sorted block is a stream that gives at
     most one pair a joined cluster. A block above LARGE members is not compared as a
     whole, which would be quadratic, but cut by the codes of the members' other
     words in a second shuffle. Pairs are closed by connected components; names
@@ -460,17 +469,18 @@ def link(entities: DataFrame, kinds: tuple[str, ...] = ("person", "organization"
     """
     scratch = Scratch(entities.sparkSession, "names")
     known = entities.where(F.col("id").isNotNull() & F.col("name").isNotNull()).select("id", F.lower("kind").alias("kind"), "name", "profile").distinct()
-    nodes, _ = scratch.save(known.mapInArrow(_parsed, NODES))
+    spelt = F.concat_ws("\x1f", "name_key", "profile").alias("spelt")
+    nodes, all_ = scratch.save(known.mapInArrow(_parsed, NODES), n=F.count(F.lit(1)))
     each = nodes.groupBy("name_key", "profile").agg(F.min("id").alias("node"), F.min("name").alias("name"))
-    each, _ = scratch.save(each)
-    keys = each.select("node", "name", "profile").mapInArrow(_blocked, _KEYS)
+    each, names_ = scratch.save(each, n=F.count(F.lit(1)))
+    keys = lookup(each, "profile", profile_forms(each), names_["n"] or 0).select("node", "name", "profile", "besides").mapInArrow(_blocked, _KEYS)
     found, seen = scratch.save(_searched(keys, LARGE), large=F.count("block"))
     pairs_ = found.where("b is not null").select("a", "b")
     if seen["large"]:
         large = found.where("b is null").select(F.col("a").alias("node"), "block", "word", "name", "profile")
         pairs_ = pairs_.unionByName(_searched(large.mapInArrow(_cut, _KEYS), None).select("a", "b"))
     # ids of one node, the spellings of one id, and the accepted pairs
-    own = nodes.join(each.select("name_key", "profile", "node"), ["name_key", "profile"]).select(F.col("id").alias("a"), F.col("node").alias("b"))
+    own = lookup(nodes.select("id", spelt), "spelt", each.select(spelt, "node"), all_["n"] or 0).select(F.col("id").alias("a"), F.col("node").alias("b"))
     groups, _ = scratch.save(components.group(own.unionByName(pairs_)))
     # a name without profile belongs to the being called exactly so, if there is one only
     being = each.join(groups.select(F.col("id").alias("node"), "group_id"), "node", "left").select("name_key", "profile", "node", F.coalesce("group_id", "node").alias("being"))

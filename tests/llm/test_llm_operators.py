@@ -418,7 +418,7 @@ APART = [
 def test_spellings_of_one_name(a, b):
     x, y = names.parse(a), names.parse(b)
     assert names.same(x, y) and names.same(y, x)
-    assert meet(names.block_keys(x, "p"), names.block_keys(y, "p"))
+    assert meet(names.block_keys(x, [1]), names.block_keys(y, [1]))
 
 
 @pytest.mark.parametrize("a, b", APART)
@@ -434,7 +434,7 @@ SHORT_CODES = [
 @pytest.mark.parametrize("a, b", SHORT_CODES)
 def test_slips_in_names_of_few_consonants_share_a_block(a, b):
     x, y = names.parse(a), names.parse(b)
-    assert names.same(x, y) and meet(names.block_keys(x, "p"), names.block_keys(y, "p"))
+    assert names.same(x, y) and meet(names.block_keys(x, [1]), names.block_keys(y, [1]))
 
 
 BACKED = [("Katherine Johnson", "Kathryn Jonson"), ("Alexander Petrov", "Alex Petrov"), ("Christopher Adams", "Chris Adams"), ("Jennifer Brown", "Jen Brown"), ("Sara Lee", "Sarah Lee"), ("Karel Novak", "Karel Nova"), ("Ann Kim", "Anne Kim")]
@@ -446,12 +446,14 @@ def test_common_names_with_agreeing_profiles(spark, a, b):
     assert {(r.id, r.group_id) for r in names.link(df).collect()} == {("1", "1"), ("2", "1")}
 
 
-def test_agreeing_profiles_share_a_first_word():
+def test_agreeing_profiles_share_a_form(spark):
     rng = random.Random(3)
-    words = "cold storage brezna map tiles falkov north seed lab kiln".split()
-    for _ in range(3000):
-        p, q = (" ".join(sorted(rng.sample(words, rng.randrange(1, 7)))) for _ in "ab")
-        assert not names.agree(p, q) or set(names.telling(p)) & set(names.telling(q))
+    words = "cold storage brezna map tiles falkov north seed".split()
+    profiles = sorted({" ".join(sorted(rng.sample(words, rng.randrange(0, 7)))) for _ in range(250)})
+    forms = {r.profile: set(r.besides) for r in names.profile_forms(spark.createDataFrame([(p,) for p in profiles], "profile string")).collect()}
+    assert set(forms) == set(profiles) and any(len(f) > 3 for f in forms.values())
+    for p, q in itertools.combinations(profiles, 2):
+        assert not names.agree(p, q) or forms[p] & forms[q], (p, q)
     assert names.agree("", "") and not names.agree("", "cold") and names.agree("brezna cold storage", "brezna cold north storage") and not names.agree("brezna cold storage", "cold falkov storage")
 
 
@@ -474,7 +476,7 @@ def test_large_blocks_are_cut_without_losing_a_link(spark, monkeypatch):
         x, y = names.parse(f"{g} {f}"), names.parse(f"{h} {e}")
         if p == q and names.same(x, y, bool(p)):
             parts = lambda n: names.finer_keys(n, next(i for i, w in enumerate(n.words) if w.text.startswith("silp")))
-            assert meet(names.block_keys(x, ""), names.block_keys(y, "")) and meet(parts(x), parts(y)), (x, y)
+            assert meet(names.block_keys(x, [0]), names.block_keys(y, [0])) and meet(parts(x), parts(y)), (x, y)
 
 
 def test_names_without_profile_are_linked_by_spelling(spark):
