@@ -24,8 +24,8 @@ CLOSE, SOUNDS = 0.88, 0.75
 LONG = 5
 #: Share of the telling words of two profiles, of all they have, from which they agree.
 AGREE = 0.6
-#: Members above which a block is cut by their other words.
-LARGE = 500
+#: Members above which those of a block are compared only where their other words can match, and above which it is cut by these words over many tasks.
+FEW, LARGE = 16, 500
 
 # --- fixed values ---------------------------------------------------------------------------------------------------
 #: Given names and their short and pet forms.
@@ -404,7 +404,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batched(rows(), _ARROW["keys"])
 
 
-def _compared(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], most: int | None, few: int) -> Iterator[pa.RecordBatch]:
     """One pair for each two clusters of a block that a name ties; the members of blocks above ``most`` are handed on as they come."""
 
     def pairs() -> Iterator[tuple]:
@@ -413,28 +413,45 @@ def _compared(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[p
             if most and len(held) > most:
                 yield from ((r[3], None, block, r[2], r[4], r[5]) for r in chain(held, members))
             else:
-                yield from ((a, b, None, None, None, None) for a, b in _ties(held))
+                yield from ((a, b, None, None, None, None) for a, b in _ties(held, few))
 
     yield from batched(pairs(), _ARROW["pairs"])
 
 
-def _ties(members: list[tuple]) -> Iterator[tuple[str, str]]:
+@lru_cache(maxsize=50_000)
+def _parts(text: str, word: int) -> list[tuple[str, str]]:
+    return sorted(finer_keys(parse(text), word))
+
+
+def _near_ones(members: list[tuple], few: int) -> Iterator[tuple[int, int]]:
+    """Positions of members to compare: all, or in a block of more than ``few`` those that share a part by their other words."""
+    if len(members) <= few:
+        yield from ((i, j) for i in range(len(members)) for j in range(i))
+        return
+    parts: dict[str, list[tuple[int, str]]] = {}
+    for i, (_, _, word, _, text, _) in enumerate(members):
+        met: set[int] = set()
+        for part, c in _parts(text, word):
+            beside = parts.setdefault(part, [])
+            met.update(j for j, k in beside if not (c and c == k))
+            beside.append((i, c))
+        yield from ((i, j) for j in sorted(met) if j < i)
+
+
+def _ties(members: list[tuple], few: int) -> Iterator[tuple[str, str]]:
     """The first accepted pair of each two clusters of a block."""
-    of: list[list[int]] = []  # the cluster of each member, shared by its members
-    for i, (_, c, _, node, text, profile) in enumerate(members):
-        own = [i]
-        of.append(own)
-        for j in range(i):
-            _, k, _, other, known, beside = members[j]
-            if of[j] is own or node == other or c and c == k or not agree(profile, beside):
-                continue
-            if same(parse(text), parse(known), bool(profile)):
-                yield node, other
-                joined = of[j]
-                joined += own
-                for m in own:
-                    of[m] = joined
-                own = joined
+    of = [[i] for i in range(len(members))]  # the cluster of each member, shared by its members
+    for i, j in _near_ones(members, few):
+        _, c, _, node, text, profile = members[i]
+        _, k, _, other, known, beside = members[j]
+        if of[i] is of[j] or node == other or c and c == k or not agree(profile, beside):
+            continue
+        if same(parse(text), parse(known), bool(profile)):
+            yield node, other
+            joined, own = of[j], of[i]
+            joined += own
+            for m in own:
+                of[m] = joined
 
 
 def _searched(keys: DataFrame, most: int | None) -> DataFrame:
@@ -442,7 +459,8 @@ def _searched(keys: DataFrame, most: int | None) -> DataFrame:
     block = Window.partitionBy("block").orderBy("name", "node", "origin", "word").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     most_, least = F.max("origin").over(block), F.min("origin").over(block)
     met = keys.select("*", ((least < most_) | ((least == 0) & (F.count(F.lit(1)).over(block) > 1))).alias("_met")).where("_met").drop("_met")
-    return met.mapInArrow(lambda batches: _compared(batches, most), _PAIRS)
+    few = FEW
+    return met.mapInArrow(lambda batches: _compared(batches, most, few), _PAIRS)
 
 
 def link(entities: DataFrame, kinds: tuple[str, ...] = ("person", "organization")) -> DataFrame:

@@ -469,7 +469,10 @@ def test_large_blocks_are_cut_without_losing_a_link(spark, monkeypatch):
     family = ["Silpewenild", "Silpewenilt", "Silpevenild", "Silpewenld"]
     people = sorted({(g, f, p) for g in given for f in family for p in ("cold storage Brezna", None) if rng.random() < 0.7}, key=str)
     df = spark.createDataFrame([(f"{i:03}", "person", f"{g} {f}", p) for i, (g, f, p) in enumerate(people)], "id string, kind string, name string, profile string")
+    monkeypatch.setattr(names, "FEW", 1000)
     whole = {(r.id, r.group_id) for r in names.link(df).collect()}
+    monkeypatch.setattr(names, "FEW", 2)
+    assert {(r.id, r.group_id) for r in names.link(df).collect()} == whole
     monkeypatch.setattr(names, "LARGE", 5)
     assert {(r.id, r.group_id) for r in names.link(df).collect()} == whole
     for (g, f, p), (h, e, q) in itertools.combinations(people, 2):
