@@ -8,13 +8,14 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-#: Words of a seed, and consecutive words that make a leak.
-SEED, RUN = 5, 10
-#: Items are held on every executor in blocks of at most this many characters.
-BLOCK_CHARS = 32_000_000
+#: Words of a seed, consecutive words that make a leak, and words that may come in or go between two seeds of one copy.
+SEED, RUN, DRIFT = 3, 10, 3
+#: Items are held on every executor in blocks of about this many words (about 60 bytes each, as arrays and a vocabulary).
+BLOCK_WORDS = 1_500_000
 #: Alignment scores: equal word, different word, skipped word. Fixed values.
 EQUAL, DIFFERENT, SKIPPED = 2, -1, -1
 #: Share of the best possible score, of the item or of an aligned stretch with RUN equal words, from which an edited copy counts.
@@ -38,45 +39,66 @@ def words(text: str | None) -> list[str]:
 
 @dataclass
 class Index:
-    """Seeds of a block of items: for each n-gram the (passage, position) places where it stands."""
+    """Seeds of a block of items as arrays: ``keys`` holds the distinct seeds in order, ``first`` where the places of each begin in ``where``."""
 
-    passages: list[tuple[int, str, list[str]]] = field(default_factory=list)  # item_id, field, words
-    places: dict[tuple[str, ...], list[tuple[int, int]]] = field(default_factory=dict)
+    vocabulary: dict[str, int] = field(default_factory=dict)
+    passages: list[tuple[int, str, list[int]]] = field(default_factory=list)  # item_id, field, numbers of its words
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    where: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int32))  # passage, position
 
     @classmethod
     def of(cls, items: list[tuple[int, str | None, str | None]]) -> Index:
-        out, places = cls(), defaultdict(list)
+        out = cls()
         for item_id, question, answer in items:
             for name, text in (("question", question), ("answer", answer)):
                 ws = words(text)
-                if len(ws) < RUN:
-                    continue
-                n = len(out.passages)
-                out.passages.append((item_id, name, ws))
-                for i in range(len(ws) - SEED + 1):
-                    places[tuple(ws[i : i + SEED])].append((n, i))
-        out.places = dict(places)
+                if len(ws) >= RUN:
+                    out.passages.append((item_id, name, [out.vocabulary.setdefault(w, len(out.vocabulary)) for w in ws]))
+        if out.passages:
+            keys = [out.seeds(np.array(p, np.int64)) for *_, p in out.passages]
+            where = np.array([(n, i) for n, k in enumerate(keys) for i in range(len(k))], np.int32)
+            joined = np.concatenate(keys)
+            order = np.argsort(joined, kind="stable")
+            out.keys, first = np.unique(joined[order], return_index=True)
+            out.first, out.where = np.append(first, len(order)), where[order]
         return out
 
-
-def _hits(ws: list[str], second: dict[str, set[str]], places: dict) -> Iterator[tuple[int, tuple[str, ...]]]:
-    """Positions of indexed n-grams; the first two words rule out nearly all of them."""
-    for i in range(len(ws) - SEED + 1):
-        after = second.get(ws[i])
-        if after is not None and ws[i + 1] in after:
-            gram = tuple(ws[i : i + SEED])
-            if gram in places:
-                yield i, gram
-
-
-def _second(places: dict) -> dict[str, set[str]]:
-    out: dict[str, set[str]] = defaultdict(set)
-    for gram in places:
-        out[gram[0]].add(gram[1])
-    return dict(out)
-
-
-def align(a: list[str], b: list[str]) -> tuple[int, int]:
+    def seeds(self, numbers: np.ndarray) -> np.ndarray:
+        """The number of each run of SEED words, one of its own as a block has fewer than two million; -1 where a word is unknown."""
+        n, own = len(self.vocabulary), np.zeros(max(len(numbers) - SEED + 1, 0), np.int64)
+        known = np.ones(len(own), bool)
+        for k in range(SEED):
+            part = numbers[k : k + len(own)]
+            own = own * n + part
+            known &= part >= 0
+        return np.where(known, own, -1)
+
+    def read(self, text: str) -> list[int]:
+        get = self.vocabulary.get
+        return [get(w, -1) for w in words(text)]
+
+    def candidates(self, numbers: list[int]) -> Iterator[tuple[int, list[int]]]:
+        """(passage, where its words would begin) for the passages of which two different seeds stand within DRIFT words of their places to each other."""
+        if len(numbers) < SEED or not len(self.keys):
+            return
+        own = self.seeds(np.array(numbers, np.int64))
+        at = np.searchsorted(self.keys, own)
+        hits = np.flatnonzero((own >= 0) & (self.keys[np.minimum(at, len(self.keys) - 1)] == own))
+        if len(hits) < 2:
+            return
+        low, high = self.first[at[hits]], self.first[at[hits] + 1]
+        place = self.where[np.concatenate([np.arange(a, b) for a, b in zip(low, high)])]
+        begins = np.repeat(hits, high - low) - place[:, 1]
+        order = np.lexsort((place[:, 1], begins, place[:, 0]))
+        passage, begins, position = place[order, 0], begins[order], place[order, 1]
+        near = (passage[1:] == passage[:-1]) & (begins[1:] - begins[:-1] <= DRIFT) & (position[1:] != position[:-1])
+        for n in np.unique(passage[1:][near]):
+            both = near & (passage[1:] == n)
+            yield int(n), np.unique(np.concatenate([begins[1:][both], begins[:-1][both]])).tolist()
+
+
+def align(a: list, b: list) -> tuple[int, int]:
     """Smith-Waterman: (best local score, words matched on its path)."""
     best, matched = 0, 0
     row = [(0, 0)] * (len(b) + 1)
@@ -102,7 +124,7 @@ def align(a: list[str], b: list[str]) -> tuple[int, int]:
     return best, matched
 
 
-def edited_part(a: list[str], b: list[str]) -> bool:
+def edited_part(a: list, b: list) -> bool:
     """Whether an alignment of any part has RUN equal words and, by its own length, EDITED of the best possible score.
 
     Looked for on the paths of best score, which also span small gaps, and on those
@@ -132,7 +154,7 @@ def edited_part(a: list[str], b: list[str]) -> bool:
     return False
 
 
-def longest_run(a: list[str], b: list[str]) -> int:
+def longest_run(a: list, b: list) -> int:
     """Most consecutive words that both hold."""
     best, row = 0, [0] * (len(b) + 1)
     for x in a:
@@ -156,7 +178,8 @@ FOUND = T.StructType([
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Aligned passages (doc_id, item_id, field, score, matched_words, item_words, run_words).
 
-    One row for each document, item and field that share a seed and either a
+    One row for each document, item and field that share two seeds (any four words
+    in a row, or twice three in about the same places) and either a
     run of RUN words, an alignment of at least EDITED of the item's best possible
     score, or one of a part with RUN equal words and at least EDITED of the best
     possible score of that part. ``run_words`` is the longest run of equal consecutive words. Null and
@@ -166,8 +189,8 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
     Plan: the items are read in blocks of bounded size, each held by every
     executor, so their number may grow. For each block one scan of the documents
-    finds all item n-grams, frequent ones too, and aligns the passages around them
-    in the same task. Stretches with too few words of the passage for any row are
+    finds all item n-grams, frequent ones too, by bisection in sorted arrays of word
+    numbers, and aligns the passages around them in the same task. Stretches with too few words of the passage for any row are
     not aligned. Nothing is shuffled or written, and no number of candidates is
     capped.
     """
@@ -184,8 +207,8 @@ def _blocks(items: DataFrame) -> Iterator[Index]:
     held, size = [], 0
     for r in items.select("item_id", "question", "answer").where(F.col("item_id").isNotNull()).distinct().orderBy("item_id", "question", "answer").toLocalIterator():
         held.append((r[0], r[1], r[2]))
-        size += len(r[1] or "") + len(r[2] or "")
-        if size > BLOCK_CHARS:
+        size += len(words(r[1])) + len(words(r[2]))
+        if size > BLOCK_WORDS:
             yield Index.of(held)
             held, size = [], 0
     if held:
@@ -193,20 +216,15 @@ def _blocks(items: DataFrame) -> Iterator[Index]:
 
 
 def _search(docs: DataFrame, index: Index) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by BLOCK_CHARS
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by BLOCK_WORDS
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        second = _second(own.places)
         for batch in batches:
             rows: list[tuple] = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ws = words(t)
-                spots: dict[int, list[int]] = defaultdict(list)  # passage: where its words would begin in the text
-                for i, gram in _hits(ws, second, own.places):
-                    for n, at in own.places[gram]:
-                        spots[n].append(i - at)
-                for n, begins in spots.items():
+                ws = own.read(t)
+                for n, begins in own.candidates(ws):
                     item_id, name, passage = own.passages[n]
                     row = _judge(ws, begins, passage)
                     if row:
@@ -220,7 +238,7 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
 _TYPES = [pa.int64(), pa.int64(), pa.string(), *[pa.int32()] * 4]
 
 
-def _judge(ws: list[str], begins: list[int], passage: list[str]) -> tuple[int, int, int, int] | None:
+def _judge(ws: list[int], begins: list[int], passage: list[int]) -> tuple[int, int, int, int] | None:
     """Best alignment of the passage over the stretches of text around its seeds."""
     m, best, run, parts = len(passage), (0, 0), 0, []
     own, least = Counter(passage), min(RUN, EDITED * len(passage))  # fewer words in common give no row

@@ -291,10 +291,42 @@ def test_edited_copies_of_a_part_are_aligned(spark):
     assert leaks.edited_part(answer, [w if 20 <= i < 32 and i != 26 or i % 3 == 0 else "x" for i, w in enumerate(answer)])
 
 
+def test_edited_copies_are_found_at_the_stated_rate():
+    """300 planted passages of 20 words each among other words, with words replaced at random."""
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=20)), None) for i in range(300)]
+    index = leaks.Index.of(items)
+
+    def recall(rate):
+        found = 0
+        for i, question, _ in items:
+            copy = [rng.choice(vocabulary) if rng.random() < rate else w for w in question.split()]
+            text = index.read(" ".join([*rng.choices(vocabulary, k=40), *copy, *rng.choices(vocabulary, k=40)]))
+            found += any(index.passages[n][0] == i and leaks._judge(text, begins, index.passages[n][2]) for n, begins in index.candidates(text))
+        return found / len(items)
+
+    assert recall(0.1) >= 0.98 and recall(0.2) >= 0.9
+
+
+def test_seeds_are_those_of_brute_force():
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choices("abcdef", k=12)), None) for i in range(20)]
+    index = leaks.Index.of(items)
+    for _ in range(200):
+        text = index.read(" ".join(rng.choices("abcdefx", k=rng.randrange(40))))
+        want = set()
+        for n, (_, _, passage) in enumerate(index.passages):
+            at = [(i - j, j) for i in range(len(text) - 2) for j in range(len(passage) - 2) if text[i : i + 3] == passage[j : j + 3]]
+            at.sort()
+            want |= {n} if any(y[0] - x[0] <= leaks.DRIFT and x[1] != y[1] for x, y in zip(at, at[1:])) else set()
+        assert {n for n, _ in index.candidates(text)} == want
+
+
 def test_items_in_blocks_give_the_same(spark, monkeypatch):
     items = [(i, " ".join(f"q{i}x{j}" for j in range(12)), None) for i in range(5)]
     docs = spark.createDataFrame([(i, q) for i, q, _ in items], "doc_id long, text string")
-    monkeypatch.setattr(leaks, "BLOCK_CHARS", 60)
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", 20)
     got = leaks.leaks(docs, spark.createDataFrame(items, "item_id long, question string, answer string")).collect()
     assert sorted((r.doc_id, r.item_id, r.run_words) for r in got) == [(i, i, 12) for i in range(5)]
 
