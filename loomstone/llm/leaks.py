@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ BLOCK_WORDS = 1_500_000
 EQUAL, DIFFERENT, SKIPPED = 2, -1, -1
 #: Share of the best possible score, of the item or of an aligned stretch with RUN equal words, from which an edited copy counts.
 EDITED = 0.6
+#: The least score of a stretch with RUN equal words and EDITED of its best possible score: of c columns e are equal, and 2 e - (c - e) >= 2 EDITED c.
+LEAST_PART = EQUAL * EDITED * RUN * (EQUAL - DIFFERENT) / (EQUAL * EDITED - DIFFERENT)
 
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = {c: None for c in range(0x300, 0x370)}
@@ -98,74 +100,78 @@ class Index:
             yield int(n), np.unique(np.concatenate([begins[1:][both], begins[:-1][both]])).tolist()
 
 
-def align(a: list, b: list) -> tuple[int, int]:
-    """Smith-Waterman: (best local score, words matched on its path)."""
-    best, matched = 0, 0
-    row = [(0, 0)] * (len(b) + 1)
-    for x in a:
-        new, diagonal = [(0, 0)], row[0]
-        for j, y in enumerate(b, 1):
-            up = row[j]
-            equal = x == y
-            top = (diagonal[0] + EQUAL, diagonal[1] + 1) if equal else (diagonal[0] + DIFFERENT, diagonal[1])
-            gap = (up[0] + SKIPPED, up[1])
-            if gap > top:
-                top = gap
-            left = new[j - 1]
-            if left[0] + SKIPPED > top[0]:
-                top = (left[0] + SKIPPED, left[1])
-            if top[0] <= 0:
-                top = (0, 0)
-            new.append(top)
-            diagonal = up
-            if top[0] > best:
-                best, matched = top
+def _swept(a: np.ndarray, b: np.ndarray, equal: int, other: int, bits: int, each: int, hit: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """Smith-Waterman over many pairs at once: the best cell of each, or with ``hit`` whether it holds in any cell.
+
+    A cell is one number, the score above ``bits`` and below it what decides ties:
+    an equal word adds ``equal`` there and ``each``, any other step ``other``. A row
+    is filled from the cells above, then along itself by a running maximum.
+    """
+    one = 1 << bits
+    match, slip = equal * one + each, other * one - (each > 1)
+    along = slip * np.arange(b.shape[1] + 1, dtype=np.int64)
+    row = np.zeros((len(a), b.shape[1] + 1), np.int64)
+    best = np.zeros(len(a), np.int64)
+    for i in range(a.shape[1]):
+        new = np.zeros_like(row)
+        new[:, 1:] = np.maximum(row[:, :-1] + np.where(a[:, i : i + 1] == b, match, slip), row[:, 1:] + slip)
+        new = np.maximum.accumulate(new - along, axis=1) + along
+        new[new < one] = 0
         row = new
-    return best, matched
+        best = np.maximum(best, (hit(new) if hit else new).max(axis=1))
+    return best
+
+
+def _dense(cells: np.ndarray) -> np.ndarray:
+    """Cells whose path has RUN equal words and EDITED of the best possible score of its columns."""
+    rest = cells & ((1 << 26) - 1)
+    equal = (rest + 8191) >> 13
+    columns = (equal << 13) - rest
+    return (cells > 0) & (equal >= RUN) & (EQUAL * equal + DIFFERENT * (columns - equal) >= EDITED * EQUAL * columns)
 
 
-def edited_part(a: list, b: list) -> bool:
-    """Whether an alignment of any part has RUN equal words and, by its own length, EDITED of the best possible score.
+def aligned(pairs: list[tuple[list[int], list[int]]]) -> list[tuple[int, int, int, bool]]:
+    """(best local score, words matched on its path, most consecutive equal words, whether an edited part) of pairs (passage, part of a text).
 
-    Looked for on the paths of best score, which also span small gaps, and on those
-    of best score above EDITED, which leave thin surroundings out.
+    An edited part is an alignment with RUN equal words and, by its own length,
+    EDITED of the best possible score; it is looked for on the paths of best score,
+    which also span small gaps, and on those of best score above EDITED, which leave
+    thin surroundings out. Pairs of about one size are swept together.
     """
-    share = EDITED * EQUAL
-    for equal, other in ((EQUAL, DIFFERENT), (EQUAL - share, DIFFERENT - share)):
-        row = [(0, 0, 0)] * (len(b) + 1)  # score, equal words, minus columns
-        for x in a:
-            new, diagonal = [(0, 0, 0)], row[0]
-            for j, y in enumerate(b, 1):
-                up, left = row[j], new[-1]
-                if x == y:
-                    top = (diagonal[0] + equal, diagonal[1] + 1, diagonal[2] - 1)
-                else:
-                    top = (diagonal[0] + other, diagonal[1], diagonal[2] - 1)
-                for from_ in (up, left):
-                    if from_[0] + other > top[0]:
-                        top = (from_[0] + other, from_[1], from_[2] - 1)
-                if top[0] <= 0:
-                    top = (0, 0, 0)
-                elif top[1] >= RUN and EQUAL * top[1] + DIFFERENT * (-top[2] - top[1]) >= -share * top[2]:
-                    return True
-                new.append(top)
-                diagonal = up
-            row = new
-    return False
-
-
-def longest_run(a: list, b: list) -> int:
-    """Most consecutive words that both hold."""
-    best, row = 0, [0] * (len(b) + 1)
-    for x in a:
-        new = [0] * (len(b) + 1)
-        for j, y in enumerate(b, 1):
-            if x == y:
-                new[j] = row[j - 1] + 1
-                if new[j] > best:
-                    best = new[j]
-        row = new
-    return best
+    out: list = [None] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
+    for at in range(0, len(order), 128):
+        own = order[at : at + 128]
+        a, b = (np.full((len(own), max(len(pairs[i][k]) for i in own)), -2 - k, np.int64) for k in (0, 1))
+        for r, i in enumerate(own):
+            a[r, : len(pairs[i][0])], b[r, : len(pairs[i][1])] = pairs[i]
+        best = _swept(a, b, EQUAL, DIFFERENT, 13, 1)
+        run, longest = np.zeros(b.shape, np.int64), np.zeros(len(own), np.int64)
+        for i in range(a.shape[1]):
+            run = np.where(a[:, i : i + 1] == b, np.pad(run, ((0, 0), (1, 0)))[:, :-1] + 1, 0)
+            longest = np.maximum(longest, run.max(axis=1))
+        part = np.zeros(len(own), bool)
+        open_ = np.flatnonzero((longest < RUN) & (best >> 13 >= LEAST_PART))  # the others need no part or have none
+        share = round(10 * EDITED * EQUAL)
+        for equal, other in ((10 * EQUAL, 10 * DIFFERENT), (10 * EQUAL - share, 10 * DIFFERENT - share)) if len(open_) else ():
+            part[open_] |= _swept(a[open_], b[open_], equal, other, 26, 8191, _dense).astype(bool)
+        for r, i in enumerate(own):
+            out[i] = int(best[r] >> 13), int(best[r] & 8191), int(longest[r]), bool(part[r])
+    return out
+
+
+def in_order(places: dict[int, int], size: int, part: list[int]) -> int:
+    """Most words that a passage of ``size`` words, given by the bits of each word's places, and a part hold in one order.
+
+    Bit-parallel longest common subsequence (Allison and Dix, 1986): no alignment has more equal words.
+    """
+    full = left = (1 << size) - 1
+    for word in part:
+        here = places.get(word)
+        if here:
+            met = left & here
+            left = (left + met | left - met) & full
+    return size - left.bit_count()
 
 
 FOUND = T.StructType([
@@ -221,14 +227,21 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            rows: list[tuple] = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            pairs, of = [], []  # stretches to align, and (row, passage) of each
+            keys = batch.column(0).to_pylist()
+            for r, t in enumerate(batch.column(1).to_pylist()):
                 ws = own.read(t)
                 for n, begins in own.candidates(ws):
-                    item_id, name, passage = own.passages[n]
-                    row = _judge(ws, begins, passage)
-                    if row:
-                        rows.append((k, item_id, name, *row))
+                    passage = own.passages[n][2]
+                    for part in stretches(ws, begins, passage):
+                        pairs.append((passage, part))
+                        of.append((r, n))
+            rows = []
+            for (r, n), some in groupby(zip(of, aligned(pairs)), key=lambda x: x[0]):
+                item_id, name, passage = own.passages[n]
+                row = judged([x for _, x in some], len(passage))
+                if row:
+                    rows.append((keys[r], item_id, name, *row))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=FOUND.fieldNames())
 
@@ -238,21 +251,28 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
 _TYPES = [pa.int64(), pa.int64(), pa.string(), *[pa.int32()] * 4]
 
 
-def _judge(ws: list[int], begins: list[int], passage: list[int]) -> tuple[int, int, int, int] | None:
-    """Best alignment of the passage over the stretches of text around its seeds."""
-    m, best, run, parts = len(passage), (0, 0), 0, []
-    own, least = Counter(passage), min(RUN, EDITED * len(passage))  # fewer words in common give no row
+def stretches(ws: list[int], begins: list[int], passage: list[int]) -> Iterator[list[int]]:
+    """The stretches of text around the seeds of a passage, but for those with too few of its words in order for any row."""
+    m = len(passage)
+    places: dict[int, int] = {}
+    for i, word in enumerate(passage):
+        places[word] = places.get(word, 0) | 1 << i
     stretch: list[int] | None = None
     for b in [*sorted(set(begins)), None]:
         if stretch is not None and (b is None or b - m // 2 > stretch[1]):
             part = ws[max(0, stretch[0]) : stretch[1]]
-            if (own & Counter(part)).total() >= least:
-                parts.append(part)
-                best, run = max(best, align(passage, part)), max(run, longest_run(passage, part))
+            if in_order(places, m, part) >= min(RUN, EDITED * m):
+                yield part
             stretch = None
         if b is not None:
             low, high = b - m // 2, b + m + m // 2
             stretch = [low, high] if stretch is None else [stretch[0], max(stretch[1], high)]
-    if run >= RUN or best[0] >= EDITED * EQUAL * m or any(edited_part(passage, part) for part in parts):
-        return best[0], best[1], m, run
+
+
+def judged(parts: list[tuple[int, int, int, bool]], m: int) -> tuple[int, int, int, int] | None:
+    """(score, matched words, words, longest run) of a passage of ``m`` words over its aligned stretches, if it is a copy."""
+    score, matched = max(p[:2] for p in parts)
+    run = max(p[2] for p in parts)
+    if run >= RUN or score >= EDITED * EQUAL * m or any(p[3] for p in parts):
+        return score, matched, m, run
     return None

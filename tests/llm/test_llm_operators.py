@@ -264,6 +264,7 @@ def test_edited_copies_are_aligned(spark):
     edited = "Notes. When did the narrow track railway between that harbour and the old brick works close for a final time? End."
     items = spark.createDataFrame([(1, question, "never")], "item_id long, question string, answer string")
     row = leaks.leaks(spark.createDataFrame([(5, edited)], "doc_id long, text string"), items).first()
+    assert leaks.leaks(spark.createDataFrame([(5, edited), (5, edited)], "doc_id long, text string").coalesce(1), items).count() == 2  # repeated rows
     assert (row.doc_id, row.item_id, row.field) == (5, 1, "question") and row.run_words < leaks.RUN and row.score >= leaks.EDITED * 2 * row.item_words
     assert leaks.leaks(spark.createDataFrame([], "doc_id long, text string"), items).count() == 0
     assert leaks.leaks(spark.createDataFrame([(5, edited)], "doc_id long, text string"), items.limit(0)).count() == 0
@@ -287,8 +288,41 @@ def test_edited_copies_of_a_part_are_aligned(spark):
     docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate((part, half, few))], "doc_id long, text string")
     assert sorted((r.doc_id, r.field, r.matched_words) for r in leaks.leaks(docs, items).collect()) == [(0, "question", 14), (1, "answer", 27)]
     # a match before a slip counts with the nine after it; thin surroundings do not take a dense part down
-    assert leaks.edited_part(answer, ["a0", "x", *answer[2:11]]) and not leaks.edited_part(answer, ["a0", "x", *answer[2:10]])
-    assert leaks.edited_part(answer, [w if 20 <= i < 32 and i != 26 or i % 3 == 0 else "x" for i, w in enumerate(answer)])
+    assert edited(answer, ["a0", "x", *answer[2:11]]) and not edited(answer, ["a0", "x", *answer[2:10]])
+    assert edited(answer, [w if 20 <= i < 32 and i != 26 or i % 3 == 0 else "x" for i, w in enumerate(answer)])
+
+
+def copied(text, begins, passage):
+    parts = list(leaks.stretches(text, begins, passage))
+    return parts and leaks.judged(leaks.aligned([(passage, p) for p in parts]), len(passage))
+
+
+def brute_alignment(a, b):
+    """Score and matched words of the best local alignment, and the longest run, cell by cell."""
+    best, run, row, runs = (0, 0), 0, [(0, 0)] * (len(b) + 1), [0] * (len(b) + 1)
+    for x in a:
+        new, new_runs = [(0, 0)], [0]
+        for j, y in enumerate(b):
+            diagonal = (row[j][0] + 2, row[j][1] + 1) if x == y else (row[j][0] - 1, row[j][1])
+            top = max(diagonal, (row[j + 1][0] - 1, row[j + 1][1]), (new[-1][0] - 1, new[-1][1]))
+            new.append(top if top[0] > 0 else (0, 0))
+            new_runs.append(runs[j] + 1 if x == y else 0)
+        row, runs = new, new_runs
+        best, run = max(best, *row), max(run, *runs)
+    return *best, run
+
+
+def test_alignment_of_many_pairs_is_that_of_each():
+    rng = random.Random(10)
+    pairs = [(rng.choices(range(9), k=rng.randrange(1, 30)), rng.choices(range(-1, 9), k=rng.randrange(1, 60))) for _ in range(400)]
+    assert [x[:3] for x in leaks.aligned(pairs)] == [brute_alignment(a, b) for a, b in pairs]
+    assert leaks.aligned([]) == []
+
+
+def edited(a, b):
+    words = {w: i for i, w in enumerate({*a, *b})}
+    *_, run, part = leaks.aligned([([words[w] for w in a], [words[w] for w in b])])[0]
+    return run >= leaks.RUN or part
 
 
 def test_edited_copies_are_found_at_the_stated_rate():
@@ -303,7 +337,7 @@ def test_edited_copies_are_found_at_the_stated_rate():
         for i, question, _ in items:
             copy = [rng.choice(vocabulary) if rng.random() < rate else w for w in question.split()]
             text = index.read(" ".join([*rng.choices(vocabulary, k=40), *copy, *rng.choices(vocabulary, k=40)]))
-            found += any(index.passages[n][0] == i and leaks._judge(text, begins, index.passages[n][2]) for n, begins in index.candidates(text))
+            found += any(index.passages[n][0] == i and copied(text, begins, index.passages[n][2]) for n, begins in index.candidates(text))
         return found / len(items)
 
     assert recall(0.1) >= 0.98 and recall(0.2) >= 0.9
@@ -323,6 +357,19 @@ def test_seeds_are_those_of_brute_force():
         assert {n for n, _ in index.candidates(text)} == want
 
 
+def test_words_in_one_order():
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = (rng.choices(range(6), k=rng.randrange(1, 25)) for _ in "ab")
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        assert leaks.in_order({x: sum(1 << i for i, y in enumerate(a) if x == y) for x in a}, len(a), b) == row[-1]
+
+
 def test_items_in_blocks_give_the_same(spark, monkeypatch):
     items = [(i, " ".join(f"q{i}x{j}" for j in range(12)), None) for i in range(5)]
     docs = spark.createDataFrame([(i, q) for i, q, _ in items], "doc_id long, text string")
