@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from loomstone.llm.blocks import TOKEN, batched, read, stream
 from loomstone.runtime import Scratch
@@ -16,8 +16,8 @@ from loomstone.runtime import Scratch
 CAPACITY = 400
 #: The curve runs through DIMS dimensions of BITS bits each.
 DIMS, BITS = 3, 10
-#: Parts of one document that are packed together; the open rest of a full window moves to the next.
-WINDOW = 512
+#: Parts behind the first open one on the curve that may fill its chunk.
+LOOK = 128
 
 ITEMS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("curve", T.LongType()), T.StructField("block_ordinal", T.IntegerType()),
@@ -107,39 +107,45 @@ def _items(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.Reco
         yield flush(held)
 
 
-def fill(items: list[tuple[int, int, int]], capacity: int = CAPACITY) -> list[list[tuple[int, int, int]]]:
-    """Bins of (ordinal, part, tokens): each opens with the largest item left and is filled as full as any subset of the others allows.
+def fill(items: Iterable[tuple[int, int, int]], capacity: int = CAPACITY, look: int = LOOK) -> Iterator[list[tuple[int, int, int]]]:
+    """Chunks of (ordinal, part, tokens), packed along the order in which the items come.
 
-    The reachable fill levels are the bits of one integer. Of items that could
-    reach the best level the first ones in the given (curve) order are taken.
+    A chunk opens with the first item left and is filled from the ``look`` items
+    behind it: as full as any subset of them allows, and with those of the shortest
+    stretch that does, so neighbours of the order stand together. The reachable
+    fill levels are the bits of one integer. Items without tokens fill no room and
+    go with the chunk before them, at the begin with the first.
     """
-    empty = [x for x in items if not x[2]]
-    items = [x for x in items if x[2]]
-    left = sorted(range(len(items)), key=lambda i: (-items[i][2], i))
-    bins: list[list[tuple[int, int, int]]] = []
-    while left:
-        seed, rest = left[0], sorted(left[1:])
-        room = capacity - items[seed][2]
-        mask, levels = (1 << room + 1) - 1, [1]
-        for i in rest:  # levels[k]: fill levels reachable with the first k items
-            levels.append((levels[-1] | levels[-1] << items[i][2]) & mask)
-            if levels[-1] >> room & 1:
+    source = iter(items)
+    held: list[tuple[int, int, int]] = []
+    empty: list[tuple[int, int, int]] = []
+    last: list[tuple[int, int, int]] | None = None  # kept back for empty items behind it
+    while True:
+        while len(held) <= look and (item := next(source, None)) is not None:
+            (held if item[2] else empty).append(item)
+        if not held:
+            break
+        if last is not None:
+            yield last + empty
+            empty = []
+        room, levels = capacity - held[0][2], [1]
+        mask, full = (1 << room + 1) - 1, 1 << room
+        for _, _, tokens in held[1:]:  # levels[k]: fill levels reachable with the first k items
+            if levels[-1] & full:
                 break
-        level = levels[-1].bit_length() - 1
-        taken = {seed}
+            levels.append((levels[-1] | levels[-1] << tokens) & mask)
+        level, taken = levels[-1].bit_length() - 1, {0}
         for k in range(len(levels) - 1, 0, -1):
-            size = items[rest[k - 1]][2]
             if not levels[k - 1] >> level & 1:
-                taken.add(rest[k - 1])
-                level -= size
-        bins.append([items[i] for i in sorted(taken)])
-        left = [i for i in left if i not in taken]
-    if empty:  # they fill no room
-        bins = [bins[0] + empty, *bins[1:]] if bins else [empty]
-    return bins
+                taken.add(k)
+                level -= held[k][2]
+        last = [held[k] for k in sorted(taken)]
+        held = [x for k, x in enumerate(held) if k not in taken]
+    if last or empty:
+        yield (last or []) + empty
 
 
-def _pack(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], capacity: int, look: int) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
         for c in (tuple(col.to_pylist() for col in b.columns) for b in batches):
             yield from zip(*c)
@@ -151,21 +157,17 @@ def _pack(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.Recor
 
     def chunks() -> Iterator[tuple]:
         for doc, group in groupby(rows(), key=lambda r: r[0]):
-            held: list[tuple[int, int, int]] = []
-            for _, _, ordinal, part, tokens in group:
-                held.append((ordinal, part, tokens))
-                if len(held) >= WINDOW:
-                    *full, rest = sorted(fill(held, capacity), key=lambda b: -sum(t for _, _, t in b))
-                    yield from (chunk(doc, b) for b in full)
-                    held = rest if len(rest) < WINDOW // 2 else []
-                    if not held:
-                        yield chunk(doc, rest)
-            if held:
-                yield from (chunk(doc, b) for b in fill(held, capacity))
+            yield from (chunk(doc, members) for members in fill(((o, p, t) for _, _, o, p, t in group), capacity, look))
 
     yield from batched(chunks(), _CHUNKS, 1024)
 
 
+def room(chunks: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, chunks, tokens, least_chunks, unused): how many chunks each document has, the fewest that its tokens could fill, and the unused share of their room."""
+    each = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("token_count").alias("tokens"))
+    return each.select("*", F.greatest(F.ceil(F.col("tokens") / capacity), F.lit(1)).cast("long").alias("least_chunks"), F.round(1 - F.col("tokens") / (F.col("chunks") * capacity), 6).alias("unused"))
+
+
 def pack(documents: DataFrame, blocks: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Chunks (doc_id, first_block, first_part, token_count, blocks) of at most ``capacity`` tokens.
 
@@ -180,9 +182,10 @@ def pack(documents: DataFrame, blocks: DataFrame, capacity: int = CAPACITY) -> D
     key of their hashed, projected token vector, which are written once (they are
     small, and a range shuffle reads its input twice); a range shuffle sorts the parts by
     (document, Hilbert key), so one document of any size spreads over several
-    partitions; each partition packs runs of neighbours on the curve. A document
-    cut by a partition edge may have one chunk more than needed.
+    partitions; each partition packs along the curve (see ``fill``). A document cut
+    by a partition edge may have one chunk more than needed.
     """
+    look = LOOK
     items, _ = Scratch(documents.sparkSession, "packing").save(stream(documents, blocks, by_section=False).mapInArrow(lambda it: _items(it, capacity), ITEMS))
     order = ["doc_id", "curve", "block_ordinal", "part"]
-    return items.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda it: _pack(it, capacity), CHUNKS)
+    return items.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda it: _pack(it, capacity, look), CHUNKS)

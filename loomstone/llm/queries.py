@@ -56,6 +56,11 @@ def p7_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunks.select("doc_id", "first_block", "first_part", "token_count", "blocks")
 
 
+def p7_room(spark: SparkSession, d: str) -> DataFrame:
+    """How full the chunks of each document are, beside the fewest that its tokens could fill."""
+    return packing.room(p7_chunks(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
@@ -86,5 +91,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_residue(spark, d).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_pieces, p6_found, p6_groups, p7_chunks, p8_ids, p9_found, p9_alignments, p10_found, p10_residue)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_pieces, p6_found, p6_groups, p7_chunks, p7_room, p8_ids, p9_found, p9_alignments, p10_found, p10_residue)}
 SQL = {"p1_found": P1_SQL, "p4_found": P4_SQL, "p9_found": P9_SQL}

@@ -207,15 +207,39 @@ def test_hilbert_curve_visits_every_cell_and_moves_to_a_neighbour():
 @given(st.lists(st.integers(0, 400), max_size=40))
 def test_bins_hold_every_item_once_and_leave_little_room(sizes):
     items = [(i, 0, s) for i, s in enumerate(sizes)]
-    bins = packing.fill(items)
+    bins = list(packing.fill(items))
     assert sorted(x for b in bins for x in b) == items
     totals = [sum(t for _, _, t in b) for b in bins]
     assert all(t <= 400 for t in totals)
     assert len([t for t in totals if t <= 200]) <= 1  # two half-empty bins would have been one
 
 
+def test_the_curve_decides_which_items_share_a_chunk():
+    items = [(i, 0, 100) for i in range(400)]
+    shuffled = random.Random(1).sample(items, 400)
+    for order in (items, shuffled):
+        assert list(packing.fill(order)) == [order[i : i + 4] for i in range(0, 400, 4)]
+    reach = [max(abs(b[0] - b[-1]) for b in packing.fill([(i, 0, rng.choice([20, 50, 90, 130, 170, 350])) for i in range(3000)])) for rng in [random.Random(2)]][0]
+    assert reach < 3000 / 4
+
+
+def test_little_room_is_left_beside_the_least_and_first_fit_decreasing():
+    for seed in range(6):
+        rng = random.Random(seed)
+        items = [(i, 0, rng.choice([20, 33, 50, 77, 90, 130, 170, 230, 290, 350])) for i in range(3000)]
+        bins: list[int] = []
+        for t in sorted((t for _, _, t in items), reverse=True):
+            at = next((i for i, b in enumerate(bins) if b + t <= 400), None)
+            if at is None:
+                bins.append(t)
+            else:
+                bins[at] += t
+        mine, least = len(list(packing.fill(items))), -(-sum(t for _, _, t in items) // 400)
+        assert mine <= 1.02 * least and mine <= 1.02 * len(bins)
+
+
 def test_chunks_of_documents(spark, monkeypatch):
-    monkeypatch.setattr(packing, "WINDOW", 64)
+    monkeypatch.setattr(packing, "LOOK", 64)
     rng = random.Random(5)
     parts = [("0", "w%d " % i * rng.choice([0, 1, 50, 133, 200, 267, 399, 400, 401, 1000])) for i in range(300)]
     text, spans = layout(parts)
@@ -228,6 +252,8 @@ def test_chunks_of_documents(spark, monkeypatch):
     assert held == want and len({(r.doc_id, r.first_block, r.first_part) for r in rows}) == len(rows)
     assert [(r.doc_id, r.token_count) for r in rows if r.doc_id == 7] == [(7, 0)]
     needed = -(-sum(tokens.values()) // 400)
+    room = {r.doc_id: r for r in packing.room(packing.pack(spark.createDataFrame([(1, text, "p")], DOC), blocks)).collect()}
+    assert room[1].least_chunks == needed and room[1].tokens == sum(tokens.values()) and 0 <= room[1].unused < 0.1 and (room[7].least_chunks, room[7].unused) == (1, 1.0)
     assert sum(r.doc_id == 1 for r in rows) <= needed * 1.1 + 4
 
 
