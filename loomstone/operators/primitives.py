@@ -12,6 +12,8 @@ from loomstone.operators import temporal as t
 
 CO_MEMBERS, CLAIM_CHARS, DELTA_CHARS = 25, 120, 80
 AGGREGATES = ("count", "group_by_predicate", "group_by_object", "timeline", "delta_top_entities", "typed_absence")
+#: Aggregates of which a limited number of rows is shown.
+BOUNDED = ("group_by_predicate", "group_by_object", "delta_top_entities", "typed_absence")
 
 
 class Boundary(ValueError):
@@ -131,7 +133,7 @@ def scan(kind: str, frame: DataFrame) -> DataFrame:
         "observation": ("observation_id", F.col("statement")),
         "claim": ("claim_id", F.left(F.col("claim_text"), F.lit(CLAIM_CHARS))),
     }
-    if kind not in shape:
+    if kind not in shape or frame is None:
         raise Boundary(f"no scan of {kind}")
     ident, text = shape[kind]
     return frame.select(F.lit(kind).alias("kind"), F.col(ident).alias("id"), text.alias("label"), F.col("ingested_at").alias("at")).orderBy("at", "id")
@@ -198,6 +200,19 @@ def withdrawn(facts: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
     return facts.join(open_.withColumn("_flag", F.lit(True)), key, "left").withColumn("support", F.when(F.col("_flag"), "withdrawn").otherwise("current")).drop("_flag")
 
 
+def enriched(facts: DataFrame, relations: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
+    """Facts with what speaks against them: ``contradicts`` (at most CO_MEMBERS ids of the group, in order), ``contradicts_total`` and ``support``."""
+    rivals = co_members(facts, relations).groupBy("relation_id").agg(F.sort_array(F.collect_list("other_id")).alias("contradicts"), F.max("co_total").alias("contradicts_total"))
+    out = facts.join(rivals, "relation_id", "left").withColumns({"contradicts": F.coalesce("contradicts", F.array().cast("array<string>")), "contradicts_total": F.coalesce("contradicts_total", F.lit(0).cast("long"))})
+    return withdrawn(out, reviews, "relation_id") if reviews is not None else out.withColumn("support", F.lit("current"))
+
+
+def merge_decisions(entities: DataFrame) -> DataFrame:
+    """Merge redirects as decisions: (kind, decision_id, subject_id, related_id, outcome, decided_at); the instant is unknown."""
+    gone = entities.where(F.col("merged_into").isNotNull())
+    return gone.select(F.lit("entity").alias("kind"), F.concat(F.lit("merge:"), "entity_id").alias("decision_id"), F.col("entity_id").alias("subject_id"), F.col("merged_into").alias("related_id"), F.lit("merged").alias("outcome"), F.lit(None).cast("timestamp_ntz").alias("decided_at"))
+
+
 def pages_about(pages: DataFrame, rules: DataFrame, keys: DataFrame, flags: DataFrame, key_kind: str, key_value: str) -> DataFrame:
     """Live pages whose active rules watch a key, newest first, with stale and open-flag marks: (page_id, title, is_stale, open_flags, redact)."""
     watched = keys.where((F.col("key_kind") == key_kind) & (F.col("key_value") == key_value)).join(rules.where("active"), "rule_id").select("page_id").distinct()

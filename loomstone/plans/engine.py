@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import json
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -52,6 +54,8 @@ class Engine:
 
     def lookup_relations(self, valid_at: str | None = None, **filters: Any) -> Answer:
         rows = P.lookup_relations(self.t["relations"], valid_at or self.now, filters.get("subject"), filters.get("predicate"), filters.get("object"))
+        if "contradiction_group" in rows.columns:
+            rows = P.enriched(rows, self.t["relations"], self.t.get("reviews")).orderBy(F.desc("evidence_count"), "ingested_at", "relation_id")
         return self._checked(Answer("fact", rows, valid_at=valid_at), "known_empty", "no believed fact is valid then")
 
     def lookup_observations(self, entity: str, valid_at: str | None = None) -> Answer:
@@ -79,19 +83,68 @@ class Engine:
 
     def aggregate(self, form: str, **kwargs: Any) -> Answer:
         try:
-            return Answer("aggregate", P.aggregate(form, self.t["relations"], self.t["observations"], self.t["entities"], **kwargs))
+            rows = P.aggregate(form, self.t["relations"], self.t["observations"], self.t["entities"], **kwargs)
         except P.Boundary as e:
             return Answer("aggregate", None, negative="boundary", explanation=str(e))
+        limit = kwargs.get("limit", 50)
+        more = form in P.BOUNDED and rows.count() > limit  # limit + 1 rows at most
+        return Answer("aggregate", rows.limit(limit) if more else rows, truncated=more, applied={"form": form, "limit": limit if form in P.BOUNDED else None})
 
-    def _edges(self, valid_at: str | None) -> DataFrame:
-        from loomstone.operators.temporal import believed, valid_at as within
+    def scan(self, kind: str) -> Answer:
+        try:
+            return Answer("scan", P.scan(kind, self.t[f"{kind}s"]) if f"{kind}s" in self.t else P.scan(kind, None))
+        except P.Boundary as e:
+            return Answer("scan", None, negative="boundary", explanation=str(e))
+
+    def transcript(self, kind: str, subject_id: str) -> Answer:
+        """Decisions on a subject; those on an entity are braided with the merges that its redirects tell of."""
+        told = self.t.get("decisions")
+        if kind == "entity":
+            merged = P.merge_decisions(self.t["entities"])
+            told = merged if told is None else told.select(*merged.columns).unionByName(merged)
+        if told is None:
+            return Answer("decision", None, negative="boundary", explanation=f"no decisions on {kind} are kept")
+        try:
+            return self._checked(Answer("decision", P.transcript(kind, subject_id, told)), "known_empty", "nothing was decided on it")
+        except P.Boundary as e:
+            return Answer("decision", None, negative="boundary", explanation=str(e))
+
+    def pages_about(self, key_kind: str, key_value: str) -> Answer:
+        names = ("pages", "rules", "rule_keys", "flags")
+        if missing := [n for n in names if n not in self.t]:
+            return Answer("page", None, negative="boundary", explanation=f"no {missing[0]} are kept")
+        return self._checked(Answer("page", P.pages_about(*(self.t[n] for n in names), key_kind, key_value)), "known_empty", "no page watches it")
 
-        return graph.relates(self.t["relations"], self.survivors, self.t["entities"]).where(within(valid_at or self.now) & believed())
+    def rerank(self, answer: Answer, signal: str) -> Answer:
+        """A scored answer ordered by one of its signals first."""
+        if signal not in answer.rows.columns:
+            return Answer(answer.grain, None, negative="boundary", explanation=f"no signal {signal}")
+        return Answer(answer.grain, ranking.rerank(answer.rows, signal), applied={"signal": signal})
+
+    def _edges(self, valid_at: str | None, believed_at: str | None = None, predicates: tuple[str, ...] = ()) -> DataFrame:
+        from loomstone.operators.temporal import believed, valid_at as within
 
-    def neighborhood(self, start: str, hops: int = 2, limit: int = 500, valid_at: str | None = None) -> Answer:
+        edges = graph.relates(self.t["relations"], self.survivors, self.t["entities"]).where(within(valid_at or self.now) & believed(believed_at))
+        return edges.where(F.col("predicate").isin(*predicates)) if predicates else edges
+
+    def neighborhood(self, start: str, hops: int = 2, limit: int = 500, valid_at: str | None = None, believed_at: str | None = None, predicates: tuple[str, ...] = (), continuation: str | None = None) -> Answer:
+        """One page of the nodes around a start, nearest first, with the exact total; a continuation is bound to the question it came from."""
+        asked = [start, hops, valid_at or self.now, believed_at, sorted(predicates)]
+        offset = 0
+        if continuation:
+            question, offset = json.loads(base64.urlsafe_b64decode(continuation.encode()))
+            if question != asked:
+                return Answer("entity", None, negative="boundary", explanation="the continuation belongs to another question")
         names = self.t["entities"].select(F.col("entity_id").alias("id"), "canonical_name")
-        rows = graph.neighborhood(self._edges(valid_at), start, hops).join(names, "id").orderBy("hops", "canonical_name", "id").limit(limit)
-        return Answer("entity", rows, valid_at=valid_at or self.now, applied={"hops": max(1, min(hops, graph.MAX_HOPS))})
+        if names.where(F.col("id") == start).isEmpty():
+            return Answer("entity", None, negative="unknown_entity", explanation=f"no entity {start}")
+        around = graph.neighborhood(self._edges(valid_at, believed_at, predicates), start, hops)
+        total = around.count()
+        more = total > offset + limit
+        token = base64.urlsafe_b64encode(json.dumps([asked, offset + limit]).encode()).decode() if more else None
+        rows = around.join(names, "id").orderBy("hops", "canonical_name", "id").offset(offset).limit(limit)
+        applied = {"hops": max(1, min(hops, graph.MAX_HOPS)), "returned": max(0, min(limit, total - offset)), "total": total, "exact": True}
+        return Answer("entity", rows, valid_at=valid_at or self.now, believed_at=believed_at, truncated=more, continuation=token, applied=applied)
 
     def path(self, start: str, end: str, max_hops: int = 4, valid_at: str | None = None) -> Answer:
         rows = graph.path(self._edges(valid_at).withColumnRenamed("relation_id", "edge_id"), start, end, max_hops)
@@ -102,10 +155,10 @@ class Engine:
             answer.negative, answer.explanation = kind, why
         return answer
 
-    def recipe(self, name: str, **arguments: Any) -> Answer:
+    def recipe(self, name: str, /, **arguments: Any) -> Answer:
         """The answer of a canonical recipe."""
-        ops = {op: (lambda inputs, _f=getattr(self, op), **kw: _f(**kw)) for op in ("resolve", "lookup_relations", "lookup_observations", "search_claims", "hydrate_relation", "delta", "neighborhood", "path")}
-        ops["fuse"] = self._fuse
+        ops = {op: (lambda inputs, _f=getattr(self, op), **kw: _f(**kw)) for op in ("resolve", "lookup_relations", "lookup_observations", "search_claims", "hydrate_relation", "delta", "neighborhood", "path", "transcript", "pages_about")}
+        ops |= {"fuse": self._fuse, "rerank": lambda inputs, **kw: self.rerank(inputs[0], **kw)}
         return recipes.run(recipes.seeds().latest(name), arguments, ops)
 
     def _fuse(self, inputs: list[Answer], k: int = ranking.RRF_K) -> Answer:

@@ -111,11 +111,11 @@ _FEED = " union all ".join(
 _FEED_SQL = f"with feed as ({_FEED}) select kind, change, id, label, {S.format('at_')} as changed_at from feed "
 
 
-@query(_FEED_SQL + f"where at_ > timestamp '{SINCE}' and kind <> 'claim'")
+@query(_FEED_SQL + f"where at_ > timestamp '{SINCE}'")
 def h9_delta_all(spark, d):
-    """The change feed of facts without a page limit."""
+    """The change feed without a page limit."""
     feed = P.feed(*spine(spark, d, "relations", "observations", "claims"))
-    return feed.where((F.col("at") > t.instant(SINCE)) & (F.col("kind") != "claim")).select("kind", "change", "id", "label", stamp("at").alias("changed_at"))
+    return feed.where(F.col("at") > t.instant(SINCE)).select("kind", "change", "id", "label", stamp("at").alias("changed_at"))
 
 
 @query(_FEED_SQL + f"where at_ > timestamp '{SINCE}' order by at_ desc, id desc, change desc limit 101")
@@ -190,17 +190,24 @@ def tk12_contradiction_co_members(spark, d):
     return P.co_members(r.where(t.believed()), r)
 
 
+@query(_CO.rsplit(" select ", 1)[0] + f", k as (select relation_id, string_agg(other_id, ',' order by other_id) as c, max(co_total) as n from o where r <= 25 group by 1) select f.relation_id, coalesce(c, '') as contradicts, cast(coalesce(n, 0) as bigint) as contradicts_total, 'current' as support from s_relations f left join k using (relation_id) where invalidated_at is null and {VALID}")
+def h12_enriched_lookup(spark, d):
+    """What contradicts each fact of a lookup."""
+    (r,) = spine(spark, d, "relations")
+    return P.enriched(P.lookup_relations(r, AT), r).select("relation_id", F.concat_ws(",", "contradicts").alias("contradicts"), "contradicts_total", "support")
+
+
 _REVIEW = """select concat('r', cast(event_id as string)) as review_id, case event_id % 3 when 0 then 'pending' when 1 then 'deferred' else 'closed' end as status,
              concat('{"fact_id": "d:', cast(event_id as string), '"}') as candidate from {events} where event_type = 'error'"""
 
 
 @query(f"""with rv as ({_REVIEW.replace("{events}", "events").replace("{0}", "")}) select relation_id, case when exists (select 1 from rv where status in ('pending', 'deferred')
-       and candidate->>'$.fact_id' = relation_id) then 'withdrawn' else 'current' end as support from s_relations where predicate = 'affiliated_with'""")
+       and candidate->>'$.fact_id' = relation_id) then 'withdrawn' else 'current' end as support from s_relations""")
 def b8_json_flagged_support(spark, d):
     (r,) = spine(spark, d, "relations")
     text = _REVIEW.replace('\'{"fact_id": "d:\'', "'{{\"fact_id\": \"d:'").replace("'\"}'", "'\"}}'")
     reviews = spark.sql(text, events=table(spark, d, "events"))
-    return P.withdrawn(r.where("predicate = 'affiliated_with'"), reviews, "relation_id").select("relation_id", "support")
+    return P.withdrawn(r, reviews, "relation_id").select("relation_id", "support")
 
 
 @query("select relation_id, coalesce(nullif(trim(fact_label), ''), concat_ws(' ', subject, replace(predicate, '_', ' '), object)) as label from s_relations")
@@ -313,11 +320,11 @@ def g11_degree(spark, d):
     return graph.degree(graph.live_edges(_edges(spark, d), AT))
 
 
-@query(_NARROW + """, h1 as (select distinct b id from u where a = 'cust:7' and b <> 'cust:7'), h2 as (select distinct u.b id from u join h1 on u.a = h1.id where u.b <> 'cust:7' and u.b not in (select id from h1)),
+@query(_NARROW.replace(" where predicate in ('located_in', 'part_of', 'uses')", "") + """, h1 as (select distinct b id from u where a = 'cust:7' and b <> 'cust:7'), h2 as (select distinct u.b id from u join h1 on u.a = h1.id where u.b <> 'cust:7' and u.b not in (select id from h1)),
        h3 as (select distinct u.b id from u join h2 on u.a = h2.id where u.b <> 'cust:7' and u.b not in (select id from h1) and u.b not in (select id from h2))
        select id, 1 as hops from h1 union all select id, 2 from h2 union all select id, 3 from h3""")
 def h14_neighborhood(spark, d):
-    return graph.neighborhood(_edges(spark, d, "located_in", "part_of", "uses"), WHO, 3)
+    return graph.neighborhood(_edges(spark, d), WHO, 3)
 
 
 @query(_NARROW + """, p as (select ['supp:1', x.b, y.b, z.b, w.b] as nodes from u x join u y on y.a = x.b join u z on z.a = y.b join u w on w.a = z.b where x.a = 'supp:1' and w.b = 'region:2'
@@ -372,11 +379,11 @@ def g9_live_components(spark, d):
 
 _RECOUNT = """with n as (select relation_id, count(distinct doc_id) filter (stance = 'supports' and is_current) n, count(distinct doc_id) filter (stance = 'contradicts' and is_current) m from s_evidence group by 1)
 select r.relation_id, cast(coalesce(n, 0) as bigint) as evidence_count, cast(coalesce(m, 0) as bigint) as contradict_count from s_relations r left join n using (relation_id)
-where predicate in ('uses', 'affiliated_with') and (coalesce(n, 0) <> evidence_count or coalesce(m, 0) <> 0)"""
+where coalesce(n, 0) <> evidence_count or coalesce(m, 0) <> 0"""
 
 
 def _facts(spark, d):
-    return spine(spark, d, "relations")[0].where("predicate in ('uses', 'affiliated_with')").withColumn("contradict_count", F.lit(0).cast("long"))
+    return spine(spark, d, "relations")[0].withColumn("contradict_count", F.lit(0).cast("long"))
 
 
 @query(_RECOUNT)
@@ -389,7 +396,7 @@ def n6_cache_audit(spark, d):
     return lifecycle.cache_audit(*spine(spark, d, "claims", "currency"))
 
 
-@query("select r.relation_id from s_relations r where predicate in ('uses', 'affiliated_with') and invalidated_at is null and valid_until is null and not exists (select 1 from s_evidence e where e.relation_id = r.relation_id and is_current and stance = 'supports') and r.relation_id not like '%:1%'")
+@query("select r.relation_id from s_relations r where invalidated_at is null and valid_until is null and not exists (select 1 from s_evidence e where e.relation_id = r.relation_id and is_current and stance = 'supports') and r.relation_id not like '%:1%'")
 def n8_zero_support(spark, d):
     f = _facts(spark, d)
     return lifecycle.zero_support(f, spine(spark, d, "evidence")[0], f.where("relation_id like '%:1%'"))
@@ -407,9 +414,9 @@ def n13_exclusive_facts(spark, d):
     return lifecycle.exclusive(e.select("relation_id").distinct(), e, "ord:7")
 
 
-@query(f"select relation_id, {S.format('least(valid_until, lead(valid_from) over (partition by subject, predicate order by valid_from, relation_id))')} as valid_until from s_relations where predicate = 'affiliated_with'")
+@query(f"select relation_id, {S.format('least(valid_until, lead(valid_from) over (partition by subject, predicate order by valid_from, relation_id))')} as valid_until from s_relations")
 def l4_supersede(spark, d):
-    r = spine(spark, d, "relations")[0].where("predicate = 'affiliated_with'")
+    r = spine(spark, d, "relations")[0]
     return lifecycle.supersede(r).select("relation_id", stamp("valid_until").alias("valid_until"))
 
 

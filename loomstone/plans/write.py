@@ -171,9 +171,9 @@ def j10_context_neighbours(spark, d):
     return _grid(spark, d).select("doc_id", "ordinal", F.lag("tokens").over(w).alias("before"), F.lead("tokens").over(w).alias("after"))
 
 
-@query("select doc_id, len(list_filter(regexp_split_to_array(coalesce(title, ''), '\\s+'), lambda x: x <> '')) as n from documents")
+@query("select doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) as n from documents")
 def f_token_count(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.tokens(F.col("title")).cast("long").alias("n"))
+    return table(spark, d, "documents").select("doc_id", tx.tokens(F.col("text")).cast("long").alias("n"))
 
 
 @query("select distinct node_path, array_to_string(list_transform(string_split(node_path, '.'), lambda x: lpad(x, 4, '0')), '.') as k from blocks where node_path is not null")

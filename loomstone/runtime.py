@@ -7,6 +7,8 @@ reliable, so a lost executor costs a re-read, never a failed job.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -36,7 +38,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @lru_cache(maxsize=1)
 def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="loomstone-")
+    root = tempfile.mkdtemp(prefix="loomstone-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -49,13 +53,27 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Folders of the operator runs of this process, until they are released.
+_RUNS: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the scratch tables of all operator runs so far and gives their number; call it once their lazy results are written."""
+    runs, _RUNS[:] = list(_RUNS), []
+    for base in runs:
+        at = spark._jvm.org.apache.hadoop.fs.Path(base)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(runs)
+
+
 class Scratch:
-    """Written intermediate tables of one operator run; superseded ones are deleted at once."""
+    """Written intermediate tables of one operator run; superseded ones are deleted at once, the last ones by ``release``."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
         self.step = 0
+        _RUNS.append(self.base)
 
     def save(self, df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
         """Write ``df`` and read it back; ``metrics`` are aggregates observed during the same write."""

@@ -2,10 +2,12 @@
 
 import datetime as dt
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomstone import runtime
 from loomstone.operators import hierarchy, history, references, skew
 
 T0 = dt.datetime(2024, 1, 1)
@@ -136,6 +138,15 @@ def test_heavy_keys_take_the_broadcast_way_with_the_same_result(spark, monkeypat
     assert references.orphans(refs, {"doc": none}).count() == 3000
 
 
+def test_scratch_tables_are_released(spark):
+    df = spark.createDataFrame([("a", None), ("b", "a")], "node string, parent string")
+    runtime.release(spark)
+    root = Path(runtime.scratch_root(spark))
+    before = set(root.iterdir()) if root.exists() else set()
+    assert hierarchy.resolve(df, "node", "parent").count() == 2 and set(root.iterdir()) - before
+    assert runtime.release(spark) > 0 and set(root.iterdir()) <= before and runtime.release(spark) == 0
+
+
 def test_hot_references_never_reach_the_shuffle(spark, monkeypatch):
     """60 % of the references on an orphaned and on a valid key each: the shuffled side holds neither, so no task gets much more than another."""
     monkeypatch.setattr(references, "HEAVY_FLOOR", 10)

@@ -349,6 +349,14 @@ def test_linter_and_arguments():
     assert recipes.descriptor(seeds.latest("graph_path"))["inputSchema"]["properties"]["max_hops"] == {"type": "integer", "minimum": 1, "maximum": 6, "default": 4}
 
 
+def test_every_seeded_recipe_runs(world):
+    given_ = {"name": "Bob", "entity_id": "c", "since": "2024-01-01", "text": "alice acme", "relation_id": "r1", "to_id": "a", "predicate": "works_for"}
+    for name in recipes.seeds().names():
+        wanted = {p.name for p in recipes.seeds().latest(name).params}
+        answer = world.recipe(name, **{k: v for k, v in given_.items() if k in wanted})
+        assert answer.negative == "boundary" if answer.rows is None else answer.rows.count() >= 0, name
+
+
 @pytest.fixture(scope="module")
 def world(spark):
     entities = spark.createDataFrame([("a", "Person", "Alice", "active", None), ("n", "Person", "A. Nowak", "merged", "a"), ("b", "Person", "Bob", "active", None), ("c", "Organization", "Acme", "active", None)], "entity_id string, type string, canonical_name string, status string, merged_into string")
@@ -372,6 +380,16 @@ def test_answers(world):
     assert [r.claim_id for r in world.recipe("claims_hybrid_rrf", text="alice acme").rows.withColumnRenamed("id", "claim_id").collect()][0] == "k1"
     assert [r.claim_id for r in world.recipe("explain", relation_id="r1").rows.collect()] == ["k1"]
     assert {r.id for r in world.neighborhood("a", 2).rows.collect()} == {"c"}
+    then = {"valid_at": "2024-01-15 00:00:00", "limit": 1}
+    page = world.neighborhood("a", 2, **then)
+    assert page.truncated and (page.applied["returned"], page.applied["total"]) == (1, 2) and [r.id for r in page.rows.collect()] == ["c"]
+    rest = world.neighborhood("a", 2, **then, continuation=page.continuation)
+    assert not rest.truncated and rest.continuation is None and [r.id for r in rest.rows.collect()] == ["b"]
+    assert world.neighborhood("b", 2, continuation=page.continuation).negative == "boundary" and world.neighborhood("x").negative == "unknown_entity"
+    assert world.neighborhood("a", 2, predicates=("founded",)).applied["total"] == 0
+    assert world.aggregate("group_by_object", limit=1, subject="b").truncated is False and world.scan("claim").rows.count() == 3 and world.scan("dream").negative == "boundary"
+    assert [(r.related_id, r.outcome) for r in world.transcript("entity", "a").rows.collect()] == [("n", "merged")] and world.transcript("relation", "r1").negative == "boundary"
+    assert world.rerank(world.search_claims("who works for acme"), "mood").negative == "boundary"
     assert {r.id for r in world.neighborhood("a", 2, valid_at="2024-01-15 00:00:00").rows.collect()} == {"c", "b"}
     assert [r.node for r in world.path("a", "b", valid_at="2024-01-15 00:00:00").rows.collect()] == ["a", "c", "b"]
     assert world.aggregate("median").negative == world.aggregate("timeline").negative == "boundary"
