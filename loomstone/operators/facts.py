@@ -48,6 +48,36 @@ def upsert_relations(existing: DataFrame, proposed: DataFrame) -> DataFrame:
     return out.select(*on, F.coalesce("open_id", fresh).alias("relation_id"), F.col("open_id").isNull().alias("is_new"), F.when(F.col("open_id").isNull(), F.col("ended")).alias("valid_from"))
 
 
+def upsert_observations(existing: DataFrame, proposed: DataFrame) -> DataFrame:
+    """(subject, statement, observation_id, is_new) for each distinct proposed statement: a believed, open one of the same words is reused."""
+    on = ["subject", "statement"]
+    live = existing.where("invalidated_at is null and valid_until is null").groupBy(*on).agg(F.min("observation_id").alias("known"))
+    out = proposed.select(*on).where("subject is not null and statement is not null").distinct().join(live, on, "left")
+    return out.select(*on, F.coalesce("known", F.sha2(F.concat_ws("\x1f", *on), 256)).alias("observation_id"), F.col("known").isNull().alias("is_new"))
+
+
+def apply_outcomes(relations: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(relations, decisions) after outcomes (relation_id, outcome, related_id, at) of new facts against older ones.
+
+    supersede ends the older window at the earliest such instant, only where that
+    shortens it, else the decision is a noop; contradict puts both into the older
+    one's group, or into a new one named after it; all else leaves both as they are.
+    A fact in several contradictions takes the smallest group. Decisions are
+    (relation_id, related_id, outcome, done).
+    """
+    old = relations.select(F.col("relation_id").alias("related_id"), F.col("valid_until").alias("_until"), F.col("contradiction_group").alias("_group"))
+    told = outcomes.distinct().join(old, "related_id")
+    shorter = F.col("_until").isNull() | (F.col("_until") > F.col("at"))
+    done = F.when(F.col("outcome") == "supersede", F.when(shorter, "supersede").otherwise("noop")).when(F.col("outcome") == "contradict", "contradict").otherwise("noop")
+    told = told.withColumn("done", done)
+    ends = told.where("done = 'supersede'").groupBy(F.col("related_id").alias("relation_id")).agg(F.min("at").alias("_end"))
+    group = F.coalesce("_group", F.sha2(F.concat(F.lit("group:"), "related_id"), 256)).alias("_named")
+    named = told.where("done = 'contradict'").select(F.explode(F.array("relation_id", "related_id")).alias("relation_id"), group).groupBy("relation_id").agg(F.min("_named").alias("_named"))
+    out = relations.join(ends, "relation_id", "left").join(named, "relation_id", "left")
+    out = out.withColumns({"valid_until": F.coalesce("_end", "valid_until"), "contradiction_group": F.coalesce("contradiction_group", "_named")}).drop("_end", "_named")
+    return out, told.select("relation_id", "related_id", "outcome", "done")
+
+
 def evidence_once(evidence: DataFrame, proposed: DataFrame) -> DataFrame:
     """Proposed (fact_id, claim_id) links that are not there yet, each once."""
     on = ["fact_id", "claim_id"]

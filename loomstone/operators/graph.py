@@ -37,6 +37,13 @@ def mentions(pairs: DataFrame, resolved: DataFrame) -> DataFrame:
     return named.groupBy(F.col("root_id").alias("entity_id"), "doc_id").agg(F.count(F.lit(1)).alias("mentions"), F.min("seen_at").alias("first_seen"))
 
 
+def crossrefs(refs: DataFrame, documents: DataFrame) -> DataFrame:
+    """(src, dst) of references between documents that exist, deleted or not; null targets go, repeated ones count once."""
+    known = documents.select(F.col("doc_id").alias("dst")).distinct()
+    each = refs.where("src is not null and dst is not null").select("src", "dst").distinct()
+    return each.join(known, "dst", "left_semi").join(known.withColumnRenamed("dst", "src"), "src", "left_semi").select("src", "dst")
+
+
 def both_ways(edges: DataFrame, *extra: str) -> DataFrame:
     """Each edge in either direction, stored direction lost."""
     ways = F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))

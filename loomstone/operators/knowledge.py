@@ -115,6 +115,13 @@ def bad_links(pages: DataFrame) -> DataFrame:
     return links.join(pages.select(F.col("path").alias("target")), "target", "left_anti").distinct()
 
 
+def reach(pages: DataFrame, changed: DataFrame) -> DataFrame:
+    """(page_id, below): how many pages hang below each changed page, whatever the depth; pages on loops have none."""
+    tree = hierarchy.resolve(pages, "page_id", "parent_id", with_path=True)
+    below = hierarchy.descendants(tree).groupBy(F.col("ancestor_id").alias("page_id")).agg(F.count(F.lit(1)).alias("below"))
+    return changed.select("page_id").distinct().join(below, "page_id", "left").select("page_id", F.coalesce("below", F.lit(0)).cast("long").alias("below"))
+
+
 def impact(blast: Column, confidence: Column, threshold: float, kind: Column) -> Column:
     """review where blast * (1 - confidence) passes the threshold and always for reflection and handover, else apply."""
     return F.when(kind.isin("reflection", "handover") | (blast * (1 - confidence) > threshold), "review").otherwise("apply")

@@ -87,3 +87,8 @@ def readiness(targets: DataFrame, stages: list[str], work: DataFrame) -> DataFra
 def dispatch(requests: DataFrame, pending: DataFrame) -> DataFrame:
     """One dispatch a subscription, none where one is pending already."""
     return requests.select("subscription").distinct().join(pending.select("subscription"), "subscription", "left_anti")
+
+
+def review_queue(reviews: DataFrame) -> DataFrame:
+    """Open reviews (review_id, status, expected_impact, created_at), those of most impact first, then the oldest."""
+    return reviews.where(F.col("status").isin("pending", "deferred")).orderBy(F.desc_nulls_last("expected_impact"), "created_at", "review_id")

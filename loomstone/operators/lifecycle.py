@@ -102,6 +102,28 @@ def finalisable(cycles: DataFrame, work: DataFrame) -> DataFrame:
     return cycles.where("completed_at is not null and finalised_at is null and failures = 0").join(busy, "cycle_id", "left_anti").select("cycle_id")
 
 
+def reconcile(claims: DataFrame, ledger: DataFrame, transitions: DataFrame, evidence: DataFrame, relations: DataFrame, flagged: DataFrame, at: str, lossy: bool = False) -> dict[str, DataFrame]:
+    """One cycle's consequences: marks and ledger, then the counts of the touched facts, then the end of those left without support.
+
+    Evidence is (relation_id, claim_id, doc_id, stance). A lossy cycle, which did not
+    see all it should have, counts but closes nothing.
+    """
+    marked, events = apply_transitions(claims, ledger, transitions)
+    now = evidence.join(marked.select("claim_id", "is_current"), "claim_id")
+    touched = affected_facts(now, transitions)
+    mine = relations.join(touched, "relation_id", "left_semi")
+    counts = recount(mine, now.join(touched, "relation_id", "left_semi"))
+    fresh = relations.join(counts.select("relation_id", F.col("evidence_count").alias("_n"), F.col("contradict_count").alias("_m")), "relation_id", "left")
+    fresh = fresh.withColumns({"evidence_count": F.coalesce("_n", "evidence_count"), "contradict_count": F.coalesce("_m", "contradict_count")}).drop("_n", "_m")
+    closing = zero_support(mine, now, flagged)
+    return {"claims": marked, "ledger": events, "relations": fresh if lossy else close_relations(fresh, closing, at), "closed": closing.limit(0) if lossy else closing}
+
+
+def bound(pairs: DataFrame, claims: DataFrame, relations: DataFrame) -> DataFrame:
+    """Links (claim_id, relation_id) of which both ends exist here; a link into another deployment's tables has none."""
+    return pairs.join(claims.select("claim_id"), "claim_id", "left_semi").join(relations.select("relation_id"), "relation_id", "left_semi")
+
+
 def repoint(versions: DataFrame) -> DataFrame:
     """(lineage_id, current_version): the latest ready and live version of each lineage."""
     return versions.where("deleted_at is null and ready").groupBy("lineage_id").agg(F.max("version_no").alias("current_version"))

@@ -11,6 +11,7 @@ from loomstone.operators.ranking import cosine
 
 FLOOR, CANDIDATES = 0.3, 10
 ACCEPT, REJECT, ESCALATIONS = 0.88, 0.60, 3
+SURE = 0.75
 CUT, POCKET, BLAST = 0.15, 50, 100
 
 
@@ -143,3 +144,31 @@ def unmerge(entities: DataFrame, survivor: str) -> DataFrame:
     """Entities with those merged into one survivor active again."""
     back = F.col("merged_into") == survivor
     return entities.withColumns({"status": F.when(back, "active").otherwise(F.col("status")), "merged_into": F.when(~back, F.col("merged_into"))})
+
+
+def two_judges(pairs: DataFrame) -> DataFrame:
+    """Pairs (verdict, confidence, second_verdict, second_confidence) with ``outcome`` and ``judge``: the first judge stands from SURE, else the second is heard; none that is sure means apart."""
+    first = F.col("confidence") >= SURE
+    outcome = F.when(first, F.col("verdict")).when(F.col("second_verdict").isNotNull(), F.col("second_verdict")).otherwise("apart")
+    return pairs.withColumns({"outcome": outcome, "judge": F.when(first, "first").otherwise("second")})
+
+
+def mint(unmatched: DataFrame) -> DataFrame:
+    """(entity_id, canonical_name, lemma, type, rejected_by) of one new entity for each lemma and type of (surface, type, rejected_by); named as its first surface, rejected by the strictest tier."""
+    named = unmatched.where("surface is not null").withColumn("lemma", tx.lemma("surface")).where("lemma <> ''")
+    out = named.groupBy("lemma", "type").agg(F.min("surface").alias("canonical_name"), F.max("rejected_by").alias("rejected_by"))
+    return out.select(F.sha2(F.concat_ws("\x1f", F.lit("entity"), "lemma", "type"), 256).alias("entity_id"), "canonical_name", "lemma", "type", "rejected_by")
+
+
+def neighbourhood(candidates: DataFrame, entities: DataFrame) -> DataFrame:
+    """(surface, entity_id, root_id) of candidates with their current identity: themselves if active, or the active entity that a merge sent them to."""
+    active = entities.where("status = 'active'").select(F.col("entity_id").alias("root_id"))
+    known = candidates.select("surface", "entity_id").distinct().join(entities.select("entity_id", F.coalesce("merged_into", "entity_id").alias("root_id")), "entity_id")
+    return known.join(active, "root_id", "left_semi").select("surface", "entity_id", "root_id")
+
+
+def ripple(decisions: DataFrame, relations: DataFrame, parts: DataFrame) -> DataFrame:
+    """Supersede decisions (relation_id, related_id) between facts whose subjects a split puts into different parts (entity_id, part); they must be judged anew."""
+    side = lambda key, name: relations.select(F.col("relation_id").alias(key), F.col("subject").alias("entity_id")).join(parts, "entity_id").select(key, F.col("part").alias(name))
+    both = decisions.where("outcome = 'supersede'").join(side("relation_id", "own"), "relation_id").join(side("related_id", "other"), "related_id")
+    return both.where("own <> other").select("relation_id", "related_id")

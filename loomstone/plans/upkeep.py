@@ -263,3 +263,66 @@ def j8_reattach(spark, d):
 def u8_dispatch_once(spark, d):
     e = table(spark, d, "events").select(F.concat(F.lit("sub"), "user_id").alias("subscription"), "event_type", "value")
     return ledger.dispatch(e, e.where("event_type = 'error' and value > 60"))
+
+
+@query("""with p as (select distinct concat('cust:', o_custkey) as subject, concat('order status ', o_orderstatus) as statement from orders), l as (select subject, statement, min(observation_id) as known from s_observations where invalidated_at is null and valid_until is null group by all)
+ select p.subject, p.statement, coalesce(known, sha256(concat_ws(chr(31), p.subject, p.statement))) as observation_id, known is null as is_new from p left join l using (subject, statement)""")
+def j15_observation_upsert(spark, d):
+    """The order statuses of all customers proposed again."""
+    p = table(spark, d, "orders").select(F.concat(F.lit("cust:"), "o_custkey").alias("subject"), F.concat(F.lit("order status "), "o_orderstatus").alias("statement"))
+    return facts.upsert_observations(spine(spark, d, "observations")[0], p)
+
+
+_OUTCOMES = """select relation_id, related_id, case when n % 3 = 0 then 'supersede' when n % 3 = 1 then 'contradict' else 'coexist' end as outcome, moment from (
+ select relation_id, lag(relation_id) over w as related_id, valid_from + interval '10' day as moment, row_number() over w as n from {s_relations} where predicate = 'affiliated_with' window w as (partition by subject order by valid_from, relation_id)) x where related_id is not null"""
+
+
+@query(f"""with o as ({_OUTCOMES.replace("{s_relations}", "s_relations")}), t as (select o.*, r.valid_until as u, r.contradiction_group as g, case when outcome = 'supersede' then case when r.valid_until is null or r.valid_until > moment then 'supersede' else 'noop' end when outcome = 'contradict' then 'contradict' else 'noop' end as done
+   from o join s_relations r on r.relation_id = o.related_id),
+ e as (select related_id as relation_id, min(moment) as fin from t where done = 'supersede' group by 1), c as (select relation_id, related_id, coalesce(g, sha256('group:' || related_id)) as k from t where done = 'contradict'),
+ k as (select relation_id, min(k) as k from (select relation_id, k from c union all select related_id, k from c) group by 1)
+ select r.relation_id, {S.format('coalesce(fin, r.valid_until)')} as valid_until, coalesce(r.contradiction_group, k.k) as contradiction_group from s_relations r left join e using (relation_id) left join k using (relation_id)""")
+def l4_outcomes(spark, d):
+    """Supersede, contradict and coexist in turn between neighbours in the history of each customer."""
+    (r,) = spine(spark, d, "relations")
+    out, _ = facts.apply_outcomes(r, spark.sql(_OUTCOMES, s_relations=r).withColumnRenamed("moment", "at"))
+    return out.select("relation_id", stamp("valid_until").alias("valid_until"), "contradiction_group")
+
+
+@query("select event_id as review_id, row_number() over (order by value desc nulls last, ts, event_id) as pos from events where event_type = 'error' or event_id % 7 = 0")
+def tk10_review_queue(spark, d):
+    """Errors as pending and every seventh event as deferred reviews, all ranked."""
+    from pyspark.sql import Window
+
+    status = F.when(F.col("event_type") == "error", "pending").when(F.col("event_id") % 7 == 0, "deferred").otherwise("closed")
+    q = ledger.review_queue(table(spark, d, "events").select(F.col("event_id").alias("review_id"), status.alias("status"), F.col("value").alias("expected_impact"), F.col("ts").alias("created_at")))
+    return q.select("review_id", F.row_number().over(Window.orderBy(F.desc_nulls_last("expected_impact"), "created_at", "review_id")).cast("long").alias("pos"))
+
+
+@query("select distinct e.doc_id as src, d.doc_id as dst from knowledge_artifact_evidence e join documents d on lower(trim(d.lineage_id)) = nullif(lower(trim(e.claim_lineage_id)), '') where e.doc_id in (select doc_id from documents)")
+def g5_crossrefs(spark, d):
+    """Documents cited together with a lineage refer to its versions."""
+    e = table(spark, d, "knowledge_artifact_evidence").select(F.col("doc_id").alias("src"), clean_id(F.col("claim_lineage_id")).alias("l"))
+    docs = table(spark, d, "documents").select("doc_id", clean_id(F.col("lineage_id")).alias("l"))
+    return graph.crossrefs(e.join(docs.withColumnRenamed("doc_id", "dst"), "l", "left").select("src", "dst"), docs)
+
+
+@query("""with c as (select entity_id, canonical_name as surface, coalesce(merged_into, entity_id) as root_id from s_entities where type = 'Organization') select surface, c.entity_id, c.root_id from c join s_entities r on r.entity_id = c.root_id where r.status = 'active'""")
+def k6_neighbourhood(spark, d):
+    """Every organisation as a candidate, merged ones under the active entity one redirect away."""
+    from loomstone.operators import resolve
+
+    (e,) = spine(spark, d, "entities")
+    return resolve.neighbourhood(e.where("type = 'Organization'").select(F.col("canonical_name").alias("surface"), "entity_id"), e)
+
+
+@query("""with p as (select lower(trim(artifact_id)) id, nullif(lower(trim(parent_artifact_id)), '') parent from knowledge_artifacts where nullif(trim(artifact_id), '') is not null
+  qualify row_number() over (partition by lower(trim(artifact_id)) order by last_compiled_at desc nulls last, parent_artifact_id desc nulls last) = 1), n as (select a.id, b.id as parent from p a left join p b on a.parent = b.id),
+ down as (select id from n where parent is null union all select c.id from down d join n c on c.parent = d.id), good as (select n.* from n semi join down using (id)),
+ up as (select id as origin, parent as cur from good where parent is not null union all select u.origin, n.parent from up u join good n on n.id = u.cur where n.parent is not null)
+ select p.id as page_id, count(origin) as below from p left join up on up.cur = p.id group by 1""".replace("with p as", "with recursive p as", 1))
+def ag22_impact(spark, d):
+    """How many pages hang below each page."""
+    p = table(spark, d, "knowledge_artifacts").select(clean_id(F.col("artifact_id")).alias("page_id"), clean_id(F.col("parent_artifact_id")).alias("parent_id"), "last_compiled_at").where("page_id is not null")
+    pages = p.groupBy("page_id").agg(F.max(F.struct("last_compiled_at", "parent_id")).alias("m")).select("page_id", F.col("m.parent_id").alias("parent_id"))
+    return K.reach(pages, pages)

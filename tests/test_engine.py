@@ -8,7 +8,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F, types as T
 
 from loomstone.functions import text as tx
-from loomstone.operators import documents as D, facts, graph, primitives as P, ranking, resolve, temporal, tree
+from loomstone.operators import documents as D, facts, graph, lifecycle, primitives as P, ranking, resolve, temporal, tree
 from loomstone.plans import engine, recipes
 from loomstone.sources import snapshots
 from loomstone import streaming
@@ -467,3 +467,29 @@ def test_graph_analytics_cover_the_live_projection(spark):
     want = {r.id for r in queries["g11_degree"](spark, d).collect()}
     for name in ("g7_pagerank", "g9_live_components"):
         assert {r.id for r in queries[name](spark, d).collect()} == want, name
+
+
+def test_reconciling_a_cycle_counts_and_closes(spark):
+    claims = spark.createDataFrame([("k1", True), ("k2", True), ("k3", True)], "claim_id string, is_current boolean")
+    ledger_ = spark.createDataFrame([], "event_id string, claim_id string, became_current boolean, seq int")
+    moves = spark.createDataFrame([("e1", "k1", False, 1), ("e2", "k2", False, 1), ("e2", "k2", True, 9)], ledger_.schema)
+    ev = spark.createDataFrame([("r1", "k1", "d1", "supports"), ("r2", "k2", "d1", "supports"), ("r2", "k3", "d2", "supports")], "relation_id string, claim_id string, doc_id string, stance string")
+    rel = spark.createDataFrame([("r1", 1, 0, None, None), ("r2", 2, 0, None, None)], "relation_id string, evidence_count long, contradict_count long, valid_until timestamp_ntz, invalidated_at timestamp_ntz")
+    none = rel.limit(0)
+    out = lifecycle.reconcile(claims, ledger_, moves, ev, rel, none, "2024-01-01 00:00:00")
+    assert {r.relation_id: (r.evidence_count, r.valid_until is not None) for r in out["relations"].collect()} == {"r1": (0, True), "r2": (1, False)}
+    assert {r.claim_id: r.is_current for r in out["claims"].collect()} == {"k1": False, "k2": False, "k3": True} and out["ledger"].count() == 2
+    lossy = lifecycle.reconcile(claims, ledger_, moves, ev, rel, none, "2024-01-01 00:00:00", lossy=True)
+    assert all(r.valid_until is None for r in lossy["relations"].collect()) and lossy["closed"].count() == 0
+    assert lifecycle.bound(spark.createDataFrame([("k1", "r1"), ("k9", "r1"), ("k1", "r9")], "claim_id string, relation_id string"), claims, rel).count() == 1
+
+
+def test_identity_steps(spark):
+    pairs = spark.createDataFrame([("same", 0.8, None), ("same", 0.7, "apart"), ("same", 0.7, None)], "verdict string, confidence double, second_verdict string")
+    assert [(r.outcome, r.judge) for r in resolve.two_judges(pairs).collect()] == [("same", "first"), ("apart", "second"), ("apart", "second")]
+    loose = spark.createDataFrame([("Acme", "Org", "T1"), ("ACME ", "Org", "T3"), ("Acme", "Person", "T2"), (None, "Org", "T1"), (" ", "Org", "T1")], "surface string, type string, rejected_by string")
+    assert {(r.lemma, r.type, r.rejected_by) for r in resolve.mint(loose).collect()} == {("acme", "Org", "T3"), ("acme", "Person", "T2")}
+    rel = spark.createDataFrame([("r1", "a"), ("r2", "b"), ("r3", "a")], "relation_id string, subject string")
+    dec = spark.createDataFrame([("r1", "r2", "supersede"), ("r1", "r3", "supersede"), ("r2", "r3", "noop")], "relation_id string, related_id string, outcome string")
+    parts = spark.createDataFrame([("a", 1), ("b", 2)], "entity_id string, part int")
+    assert [tuple(r) for r in resolve.ripple(dec, rel, parts).collect()] == [("r1", "r2")]
