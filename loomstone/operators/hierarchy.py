@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from loomstone.operators.skew import lookup
 from loomstone.runtime import Scratch
@@ -32,45 +32,35 @@ def resolve(nodes: DataFrame, node: str, parent: str, with_path: bool = False) -
     pointers of those ancestors, doubling the distance and joining the path
     segments, so a line of descent of length d takes log2(d) rounds. A round
     that finishes no node proves that the rest runs into loops, since ancestors
-    of a finite depth finish before their descendants. Each round's table is
-    written to the shared scratch folder; an ancestor pointed at by a large
+    of a finite depth finish before their descendants. Each round writes the nodes
+    that it moved, so a finished node is written once; an ancestor pointed at by a large
     share of the nodes is looked up by broadcast, see ``skew.lookup``.
     """
     spark = nodes.sparkSession
     scratch = Scratch(spark, "hierarchy")
     start = links(nodes, node, parent)
     loose = F.col("parent").isNull()
-    seg = F.array("parent") if with_path else F.lit(None).cast("array<string>")
-    first = start.select(
-        "id",
-        F.coalesce("parent", "id").alias("ptr"),
-        F.when(loose, 0).otherwise(1).cast("long").alias("dist"),
-        loose.alias("done"),
-        F.when(loose, F.array().cast("array<string>")).otherwise(seg).alias("path"),
-    )
+    path = [F.when(loose, F.array().cast("array<string>")).otherwise(F.array("parent")).alias("path")] if with_path else []
+    first = start.select("id", F.coalesce("parent", "id").alias("ptr"), F.when(loose, 0).otherwise(1).cast("long").alias("dist"), loose.alias("done"), *path)
     todo = ~F.col("done")
-    state, seen = scratch.save(first, left=F.sum(todo.cast("long")), rows=F.count(F.lit(1)))
+    state, seen = scratch.save(first, left=F.sum(todo.cast("long")))
+    done, open_ = state.where("done"), state.where(todo)
+    joined = [F.concat("_path", "path").alias("path")] if with_path else []
     while seen["left"]:
-        far = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("dist").alias("_dist"), F.col("done").alias("_done"), F.col("path").alias("_path"))
-        moved = lookup(state.where(todo), "ptr", far, seen["left"]).select(
-            "id",
-            F.col("_ptr").alias("ptr"),
-            (F.col("dist") + F.col("_dist")).alias("dist"),
-            F.col("_done").alias("done"),
-            (F.concat("_path", "path") if with_path else F.col("path")).alias("path"),
-        )
+        known = done.unionByName(open_)
+        far = known.select(F.col("id").alias("ptr"), *[F.col(c).alias(f"_{c}") for c in known.columns if c != "id"])
+        moved = lookup(open_, "ptr", far, seen["left"]).select("id", F.col("_ptr").alias("ptr"), (F.col("dist") + F.col("_dist")).alias("dist"), F.col("_done").alias("done"), *joined)
         before = seen["left"]
-        fresh, seen = scratch.save(state.where("done").unionByName(moved), left=F.sum(todo.cast("long")), rows=F.count(F.lit(1)))
-        scratch.drop(state)
-        state = fresh
+        fresh, seen = scratch.save(moved, left=F.sum(todo.cast("long")))
+        done, open_ = done.unionByName(fresh.where("done")), fresh.where(todo)
         if seen["left"] == before:
             break
-    finished = state.where("done").select("id", F.col("ptr").alias("root_id"), "dist", "path")
     cyclic = start.sparkSession.createDataFrame([], "id string, root_id string")
     if seen["left"]:
-        cyclic = _loops(state.where(todo).select("id"), start, scratch, seen["left"])
+        cyclic = _loops(open_.select("id"), start, scratch, seen["left"])
     shape = lambda df, depth, path: df.select("id", "root_id", depth.cast("long").alias("depth"), *([path.alias("path")] if with_path else []))
-    return shape(finished, F.col("dist"), F.concat("path", F.array("id"))).unionByName(shape(cyclic, F.lit(-1), F.array("id")))
+    finished = done.withColumnRenamed("ptr", "root_id")
+    return shape(finished, F.col("dist"), F.concat("path", F.array("id")) if with_path else None).unionByName(shape(cyclic, F.lit(-1), F.array("id")))
 
 
 def _loops(ids: DataFrame, start: DataFrame, scratch: Scratch, rows: int) -> DataFrame:
