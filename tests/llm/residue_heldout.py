@@ -1,4 +1,8 @@
-"""Held-out texts for the residue operator, one a line; no rule was made or changed for them."""
+"""Texts for the residue operator, one a line, written after the first rules, on which recall was then 0.80.
+
+The vocabulary was widened afterwards by someone who knew these texts, so the later
+figure is not a blind one; that is the figure of ``residue_fresh.py``.
+"""
 
 RESIDUE = """\
 Hey there! This website uses JavaScript. Turn it on to see everything we have to offer.
